@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernmill.llm.bpe import count_tokens, encode
+from quernmill.llm.mixing import mix_sources
 from quernmill.llm.pairs import co_occurrences
+from quernmill.llm.setjoin import expand_pairs, similar_sets
 from quernmill.llm.terms import term_frequencies, typical_terms
 from quernmill.llm.topn import top_n
 from quernmill.operators.packed import split_packed
+from quernmill.session import cut
 from quernmill.sources.tables import distinct_reviews, table, valid_stars
 
 
@@ -24,6 +28,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("business_a"), F.col("item_b").alias("business_b"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """business_a, business_b with at least 4 users each whose users overlap by 0.4 of either's or more."""
+    pairs, members = similar_sets(table(spark, folder, "review"), "business_id", "user_id", threshold=0.4, min_size=4)
+    return expand_pairs(pairs, members).select(F.col("key_a").alias("business_a"), F.col("key_b").alias("business_b"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """term, mark: 'rare' in fewer than 3 reviews, 'common' in more than a fifth of those that hold any term."""
     terms = term_frequencies(distinct_reviews(table(spark, folder, "review"), "text"), rare_below=3, common_above=0.2)
@@ -45,7 +55,27 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("category", "business_id")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id and the token ids of each document by byte_bpe_50k."""
+    return encode(table(spark, folder, "documents"), "text", ["doc_id"])
+
+
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    counted = count_tokens(table(spark, folder, "documents"), "text", ["doc_id", "source"])
+    return mix_sources(cut(counted), table(spark, folder, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """source: those that max_repeats keeps below their target tokens."""
+    return _mix(spark, folder)[1].where("capped").select("source")
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source: target and actual tokens and shares of the mix."""
+    return _mix(spark, folder)[1]
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report}
 
 _REVIEWS = "reviews AS (SELECT review_id, any_value(business_id) AS business_id, any_value(user_id) AS user_id, any_value(stars) AS stars, any_value(text) AS text FROM review WHERE review_id IS NOT NULL GROUP BY review_id)"
 _TERMS = r"terms AS (SELECT review_id, business_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM reviews)"
@@ -65,6 +95,13 @@ both_of AS (SELECT a.business_id AS business_a, b.business_id AS business_b, cou
   FROM pairs a JOIN pairs b ON a.user_id = b.user_id AND a.business_id < b.business_id GROUP BY 1, 2)
 SELECT business_a, business_b FROM both_of JOIN n x ON x.business_id = business_a JOIN n y ON y.business_id = business_b, total
 WHERE both_of.k >= 5 AND both_of.k * m >= 8 * x.k * y.k""",
+    "p4_found": """
+WITH pairs AS (SELECT DISTINCT user_id, business_id FROM review WHERE user_id IS NOT NULL AND business_id IS NOT NULL),
+n AS (SELECT business_id, count(*) AS k FROM pairs GROUP BY 1 HAVING count(*) >= 4),
+both_of AS (SELECT a.business_id AS business_a, b.business_id AS business_b, count(*) AS k
+  FROM pairs a JOIN pairs b ON a.user_id = b.user_id AND a.business_id < b.business_id GROUP BY 1, 2)
+SELECT business_a, business_b FROM both_of JOIN n x ON x.business_id = business_a JOIN n y ON y.business_id = business_b
+WHERE both_of.k / (x.k + y.k - both_of.k) >= 0.4""",
     "p6_found": f"""
 WITH {_REVIEWS}, {_TERMS},
 counts AS (SELECT term, count(DISTINCT review_id) AS k FROM terms GROUP BY term),
