@@ -11,6 +11,7 @@ from quernmill.llm.pairs import co_occurrences
 from quernmill.llm.setjoin import expand_pairs, similar_sets
 from quernmill.llm.terms import term_frequencies, typical_terms
 from quernmill.llm.topn import top_n
+from quernmill.llm.truncation import truncated_texts
 from quernmill.operators.packed import split_packed
 from quernmill.session import cut
 from quernmill.sources.tables import distinct_reviews, table, valid_stars
@@ -75,7 +76,18 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1]
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id of the documents that were cut off."""
+    return truncated_texts(table(spark, folder, "documents")).where("is_truncated").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source: documents, how many were cut off, and their rate."""
+    judged = truncated_texts(table(spark, folder, "documents"))
+    return judged.groupBy("source").agg(F.count("*").alias("n_documents"), F.count_if("is_truncated").alias("n_truncated"), F.avg(F.col("is_truncated").cast("double")).alias("rate"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_rates": p10_rates}
 
 _REVIEWS = "reviews AS (SELECT review_id, any_value(business_id) AS business_id, any_value(user_id) AS user_id, any_value(stars) AS stars, any_value(text) AS text FROM review WHERE review_id IS NOT NULL GROUP BY review_id)"
 _TERMS = r"terms AS (SELECT review_id, business_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM reviews)"
