@@ -134,5 +134,6 @@ def chained_impute(df: DataFrame, key: str, *, numeric: dict[str, tuple[float, f
                 work = _regress(work, c, others, list(categorical), known, numeric[c], (seed, c))
             elif first[c] is not None:
                 work = _classify(work, c, others, [g for g in categorical if g != c], known, (seed, c))
-        work = cut(work)
+            # each fit reads the fields several times; from a written table that is a scan, not the plan so far
+            work = cut(work)
     return work.select(*[F.col(f"`{c}`") for c in names], *[f"{c}_filled" for c in (*numeric, *categorical)])
