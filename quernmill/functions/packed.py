@@ -167,7 +167,7 @@ def split_arrow(fields: pa.Array) -> pa.ListArray:
     escaped[1:] = escaper[:-1]
 
     blank, _ = _mark(b, BLANKS)
-    solid = np.flatnonzero(~blank & ~wall)
+    solid = np.flatnonzero(~blank & ~wall)  # for the notation, as written
     lo = np.searchsorted(solid, start)
     hi = np.searchsorted(solid, stop)
     some = hi > lo
@@ -178,6 +178,7 @@ def split_arrow(fields: pa.Array) -> pa.ListArray:
     braced = pair & (b[first] == 123) & (b[last] == 125)
     boxed = listed | braced
 
+    solid = np.flatnonzero(~blank & ~wall & ~escaper)  # for values, whose escapes go
     # one kind of quote is active in a field; where a list has both, or quotes don't pair, the scalar grammar decides
     double = (b == 34) & ~escaped
     single = (b == 39) & ~escaped
@@ -191,6 +192,7 @@ def split_arrow(fields: pa.Array) -> pa.ListArray:
     inside = ((parity - base[row]) % 2).astype(bool)  # true from an opening quote up to before its closing one
     hard |= (parity[stop] - base) % 2 == 1
     hard |= listed & (np.add.reduceat(escaper, start) > 0)
+    hard |= boxed & escaped[last]
 
     box = np.zeros(len(b), bool)
     box[first[boxed]] = True

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernmill.operators.names import fresh
+
 BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Fixed value: the published split pattern of this vocabulary; \s is Unicode's White_Space.
@@ -127,10 +129,10 @@ def encode(df: DataFrame, text: str, keys: list[str], *, vocabulary: str = BYTE_
     """Keys and the token ids (array<int>) of each row's text; one row per row, in one narrow pass.
 
     Null and empty texts have an empty list. The words of whole texts are merged by a contiguous
-    rank array, very long ones through a heap with the same result. A key may not be named `ids`.
+    rank array, very long ones through a heap with the same result. Where a key is named `ids`,
+    the result gets underscores appended.
     """
-    if ids in keys:
-        raise ValueError("a key column clashes with the name of the result")
+    ids = fresh(ids, keys)
     raw = _vocabulary(df, vocabulary)
     picked = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([*picked.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType()))])
@@ -151,16 +153,17 @@ def encode(df: DataFrame, text: str, keys: list[str], *, vocabulary: str = BYTE_
 
 
 def count_tokens(df: DataFrame, text: str, keys: list[str], *, vocabulary: str = BYTE_BPE_50K) -> DataFrame:
-    """Keys and `tokens`, the number of ids `encode` would give."""
+    """Keys and `tokens` (with underscores appended where a key has the name), the number of ids `encode` would give."""
+    tokens = fresh("tokens", keys)
     raw = _vocabulary(df, vocabulary)
     picked = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = T.StructType([*picked.schema.fields[:-1], T.StructField("tokens", T.LongType())])
+    schema = T.StructType([*picked.schema.fields[:-1], T.StructField(tokens, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(raw.value)
         split = bpe.split
         for batch in batches:
             counts = [sum(len(bpe[w]) for w in split(t)) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(batch.num_columns - 1)], pa.array(counts, pa.int64())], [*keys, "tokens"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(batch.num_columns - 1)], pa.array(counts, pa.int64())], [*keys, tokens])
 
     return picked.mapInArrow(run, schema)

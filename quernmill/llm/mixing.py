@@ -86,7 +86,8 @@ def mix_sources(records: DataFrame, targets: DataFrame, *, key: str = "doc_id",
     so a source is off its target by less than one record. The same seed gives the same copies.
 
     copies: key, source, tokens, copies. report: source, weight, max_repeats, tokens,
-    target_tokens, capped, mixed_tokens, target_share, actual_share. Empty tables give no copies.
+    target_tokens, capped, mixed_tokens, target_share, actual_share. Empty tables give no copies. Records without key or tokens get whole parts
+    only; rows that repeat a key get the same copies, which may be one too many.
     """
     weight = F.when(F.col("target_weight").isNotNull() & ~F.isnan("target_weight") & (F.col("target_weight") > 0) & (F.col("target_weight") < float("inf")), F.col("target_weight")).otherwise(0.0)
     wanted = targets.select(normal_source().alias("source"), weight.alias("weight"), F.greatest("max_repeats", F.lit(0)).alias("max_repeats"), F.col("max_repeats").isNull().alias("free")).where(F.col("source").isNotNull())
@@ -109,7 +110,7 @@ def mix_sources(records: DataFrame, targets: DataFrame, *, key: str = "doc_id",
     whole = F.floor(F.col("rate") + 1e-9)
     rated = cut(rated.select(F.col(f"`{key}`").alias("__key"), "source", "tokens", whole.alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p")))
     uniform = lambda *c: F.xxhash64(*c, F.lit(seed)).bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
-    some = (F.col("p") > 1e-9) & (F.col("tokens") > 0)
+    some = (F.col("p") > 1e-9) & (F.col("tokens") > 0) & F.col("__key").isNotNull()
     units = rated.where(some).select("source", F.pmod(F.xxhash64("__key", F.lit(seed + 1)), F.lit(buckets)).alias("bucket"), F.col("__key").cast("string").alias("id"), "p", F.col("tokens").cast("double").alias("size"), uniform("__key").alias("draw"), F.lit(False).alias("settled"))
     done, width = None, buckets
     while True:
@@ -121,7 +122,7 @@ def mix_sources(records: DataFrame, targets: DataFrame, *, key: str = "doc_id",
             break
         width = max(1, width // fan_in)
         units = stage.where(~F.col("settled")).withColumn("bucket", F.pmod("bucket", F.lit(width)))
-    done = done.withColumn("one", F.lit(1))
+    done = done.distinct().withColumn("one", F.lit(1))
     copies = cut(rated.join(done, F.col("__key").cast("string") == F.col("id"), "left").select(F.col("__key").alias(key), "source", "tokens", (F.col("whole") + F.coalesce("one", F.lit(0))).cast("bigint").alias("copies")))
     mixed = copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"))
     report = plan.drop("rate").join(F.broadcast(mixed), "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)).cast("bigint"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernmill.operators.names import fresh
 from quernmill.session import cut
 
 
@@ -19,11 +20,10 @@ def top_n(df: DataFrame, groups: list[str], score: str, n: int, *, ties: list[Co
 
     Null and NaN scores rank after all others (NaN before null). Rows with a null group form
     no group and drop out. Rows equal in score and ties are ranked in any order among
-    themselves; the result is the same where they are alike in all columns. Columns named
-    `rank` or starting with __ must not be there.
+    themselves; the result is the same where they are alike in all columns. Where df has a
+    column `rank`, the new one gets underscores appended. An empty table gives no rows.
     """
-    if "rank" in df.columns or any(c.startswith("__") for c in df.columns):
-        raise ValueError("a column clashes with those of the operator")
+    rank = fresh("rank", df.columns)
     known = F.col(f"`{score}`").isNotNull() & ~F.isnan(F.col(f"`{score}`").cast("double"))
     rows = cut(df.where(F.forall(F.array(*[F.col(f"`{g}`").isNotNull() for g in groups]), lambda x: x)))
     value = F.col(f"`{score}`").cast("double")
@@ -32,7 +32,7 @@ def top_n(df: DataFrame, groups: list[str], score: str, n: int, *, ties: list[Co
     window = Window.partitionBy(*[F.col(f"`{g}`") for g in groups]).orderBy(*order)
 
     def best(part: DataFrame) -> DataFrame:
-        return part.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
+        return part.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 
     found: DataFrame | None = None
     upper: float | None = None
@@ -42,9 +42,9 @@ def top_n(df: DataFrame, groups: list[str], score: str, n: int, *, ties: list[Co
             inside = inside & known & (value >= lower)
         band = rows.where(inside)
         if found is not None:
-            full = found.groupBy(*[F.col(f"`{g}`") for g in groups]).count().where(F.col("count") >= n).drop("count")
-            band = band.join(full, groups, "left_anti")
-        part = best(band).drop("rank").select(*df.columns)
+            full = found.groupBy(*[F.col(f"`{g}`").alias(f"g{i}") for i, g in enumerate(groups)]).agg(F.count("*").alias("k")).where(F.col("k") >= n).alias("full")
+            band = band.alias("band").join(full, [F.col(f"band.`{g}`") == F.col(f"full.g{i}") for i, g in enumerate(groups)], "left_anti")
+        part = best(band).drop(rank)
         found = cut(part if found is None else found.unionByName(part))
         upper = lower
     return best(found)

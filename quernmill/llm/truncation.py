@@ -302,7 +302,8 @@ def truncated_texts(records: DataFrame, *, key: str = "doc_id", text: str = "tex
     more often than its neighbouring lengths explain, it is the excess share.
 
     Every text is read whole; null, empty and blank ones score 0. An empty table gives no
-    rows. `key` should be unique; rows that repeat a key are scored each for itself.
+    rows. Rows that repeat a key all get the highest of their scores; those with a null
+    key score 0. Other columns are not read.
     """
     base = records.select(F.col(f"`{key}`").alias("__key"), normal_source(f"`{source}`").alias("source"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("__id", F.col("__key").cast("string"))
     total = base.where(F.col("text").isNotNull()).count()

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernmill.operators.names import fresh
 from quernmill.session import cut
 
 _SHRINK = 10.0  # a group mean counts the overall mean as so many rows
@@ -105,35 +106,41 @@ def chained_impute(df: DataFrame, key: str, *, numeric: dict[str, tuple[float, f
     Given values never change. Rows with a null key are filled as well (with one draw for all
     of them); repeated keys are rows of their own. A field without any value is filled with
     the middle of its range; a class without any stays null. An empty table stays empty.
+    Other columns pass through; where one has a mark's name, the mark gets underscores appended.
     """
-    for c in (*numeric, *categorical):
-        if f"{c}_filled" in df.columns:
-            raise ValueError(f"{c}_filled is a column already")
-    names = df.columns
-    work = df.withColumn("__key", F.col(f"`{key}`").cast("string"))
+    given = df.columns
+    fields = {c: f"n{i}" for i, c in enumerate(numeric)} | {c: f"c{i}" for i, c in enumerate(categorical)}
+    bounds = {fields[c]: b for c, b in numeric.items()}
+    numbers, classes, extra = list(bounds), [fields[c] for c in categorical], [f"p{i}" for i in range(len(predictors))]
+    # own names for all that is worked on; the other columns travel in one struct
+    rest = [c for c in given if c not in fields]
+    columns = [F.col(f"`{key}`").cast("string").alias("__key"), F.struct(*[F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(rest)], F.lit(0).alias("end")).alias("rest")]
     for c, (low, high) in numeric.items():
         ok = usable(c, low, high)
-        work = work.withColumn(f"{c}_filled", ~ok).withColumn(c, F.when(ok, F.col(c).cast("double")))
+        columns += [(~ok).alias(f"{fields[c]}_filled"), F.when(ok, F.col(f"`{c}`").cast("double")).alias(fields[c])]
     for c in categorical:
-        ok = F.coalesce(F.trim(F.col(c)) != "", F.lit(False))
-        work = work.withColumn(f"{c}_filled", ~ok).withColumn(c, F.when(ok, F.col(c)))
-    work = work.withColumns({f"__p_{i}": F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.col(c).cast("double")) for i, c in enumerate(predictors)})
-    work = cut(work)
-    extra = [f"__p_{i}" for i in range(len(predictors))]
-    first = work.agg(*[F.avg(c).alias(c) for c in (*numeric, *extra)], *[F.count_if(f"{c}_filled").alias(f"{c}_filled") for c in (*numeric, *categorical)], *[F.mode(c).alias(c) for c in categorical]).head()
-    middle = {c: sum(b) / 2 for c, b in numeric.items()}
-    work = work.fillna({c: first[c] if first[c] is not None else middle.get(c, 0.0) for c in (*numeric, *extra)})
-    modes = {c: first[c] for c in categorical if first[c] is not None}
-    work = work.fillna(modes) if modes else work
-    lacking = [c for c in (*categorical, *numeric) if first[f"{c}_filled"]]
-    for k in range(rounds if len(lacking) else 0):
+        ok = F.coalesce(F.trim(F.col(f"`{c}`")) != "", F.lit(False))
+        columns += [(~ok).alias(f"{fields[c]}_filled"), F.when(ok, F.col(f"`{c}`")).alias(fields[c])]
+    columns += [F.when(usable(c, -1e300, 1e300), F.col(f"`{c}`").cast("double")).alias(p) for c, p in zip(predictors, extra, strict=True)]
+    work = cut(df.select(*columns))
+    first = work.agg(*[F.avg(c).alias(c) for c in (*numbers, *extra)], *[F.count_if(f"{c}_filled").alias(f"{c}_filled") for c in (*numbers, *classes)], *[F.mode(c).alias(c) for c in classes]).head()
+    middle = {c: sum(b) / 2 for c, b in bounds.items()}
+    starts = {c: first[c] if first[c] is not None else middle.get(c, 0.0) for c in (*numbers, *extra)} | {c: first[c] for c in classes if first[c] is not None}
+    work = work.fillna(starts) if starts else work
+    lacking = [c for c in (*classes, *numbers) if first[f"{c}_filled"]]
+    for _ in range(rounds):
         for c in lacking:
             known = ~F.col(f"{c}_filled")
-            others = [x for x in (*numeric, *extra) if x != c]
-            if c in numeric:
-                work = _regress(work, c, others, list(categorical), known, numeric[c], (seed, c))
+            others = [x for x in (*numbers, *extra) if x != c]
+            if c in bounds:
+                work = _regress(work, c, others, classes, known, bounds[c], (seed, c))
             elif first[c] is not None:
-                work = _classify(work, c, others, [g for g in categorical if g != c], known, (seed, c))
+                work = _classify(work, c, others, [g for g in classes if g != c], known, (seed, c))
             # each fit reads the fields several times; from a written table that is a scan, not the plan so far
             work = cut(work)
-    return work.select(*[F.col(f"`{c}`") for c in names], *[f"{c}_filled" for c in (*numeric, *categorical)])
+    place = {c: i for i, c in enumerate(rest)}
+    out, taken = [F.col(fields[c]).alias(c) if c in fields else F.col(f"rest.r{place[c]}").alias(c) for c in given], list(given)
+    for c in (*numeric, *categorical):
+        taken.append(fresh(f"{c}_filled", taken))
+        out.append(F.col(f"{fields[c]}_filled").alias(taken[-1]))
+    return work.select(*out)

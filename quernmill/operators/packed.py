@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernmill.functions.packed import split_arrow
+from quernmill.operators.names import fresh
 
 
 def split_packed(df: DataFrame, field: str, keys: list[str], *, value: str = "value", pos: str = "pos") -> DataFrame:
@@ -18,10 +19,10 @@ def split_packed(df: DataFrame, field: str, keys: list[str], *, value: str = "va
 
     Null, empty and blank fields give no row; repeated values and rows stay; columns other
     than `keys` and `field` are not read. The work is one narrow pass over Arrow buffers: no
-    shuffle. A key column may not be named like `pos` or `value`.
+    shuffle. Where a key has the name of `pos` or `value`, that gets underscores appended.
     """
-    if {value, pos} & set(keys):
-        raise ValueError("a key column clashes with the names of the result")
+    pos = fresh(pos, keys)
+    value = fresh(value, [*keys, pos])
     picked = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{field}`").cast("string").alias("__packed"))
     schema = T.StructType([*picked.schema.fields[:-1], T.StructField(pos, T.LongType()), T.StructField(value, T.StringType())])
 

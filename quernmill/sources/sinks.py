@@ -30,7 +30,7 @@ def itemset_report(candidates: DataFrame, frequent: DataFrame) -> DataFrame:
     spark = frequent.sparkSession
 
     def block(sets: DataFrame, at: int) -> DataFrame:
-        lines = sets.groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list("items")), quoted), ",").alias("value"))
+        lines = sets.groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list("items")), lambda x: quoted(x)), ",").alias("value"))
         return lines.select(F.lit(at).alias("part"), F.col("k").cast("int").alias("k"), "value")
 
     titles = spark.createDataFrame([(0, 0, "Candidates:"), (1, 1 << 30, ""), (2, 0, "Frequent Itemsets:")], "part int, k int, value string")
