@@ -150,7 +150,7 @@ def _endings(batches: Iterator[pa.RecordBatch], share: float, longest: int) -> I
                         if made:
                             head, between = made
                             kind = rng.random()
-                            shown = head.rstrip() + rng.choice(_SIGNS) if kind < 0.25 else head + rng.choice(_BROKEN) if kind > 0.92 else head
+                            shown = head.rstrip() + rng.choice(_SIGNS) if kind < 0.25 else head + rng.choice(_BROKEN) if kind > 0.7 else head
                             one, two, ahead, _, _, marks = _ending(shown)
                             rows.append((id_, source, 1, *size, one, two, ahead, int(between), 0, marks))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(kinds))], names)
@@ -212,19 +212,27 @@ def fit_logistic(rows: list[list[int]], labels: np.ndarray, weight: np.ndarray,
     return found
 
 
-def share_of_cut(natural: np.ndarray, counts: np.ndarray, cut_ones: np.ndarray, least: float = 0.8) -> float:
-    """The share of cut texts among natural ones, from evidence of both.
+def share_of_cut(natural: np.ndarray, counts: np.ndarray, cut_ones: np.ndarray, least: float = 0.8, most: float = 0.95) -> tuple[float, float]:
+    """The share of cut texts among natural ones, and the evidence from which natural texts are cut.
 
     Natural texts are a mixture of intact and cut ones, so above any level of evidence their
-    share is at least s times that of cut ones; s is the least such ratio over the levels that
-    at least `least` of the cut ones pass. natural comes as values with counts.
+    share is at least s times that of cut ones, and about that where intact ones are few; s is
+    the median ratio over the levels that `least` to `most` of the cut ones pass. From the
+    lowest level on above which there are no more natural texts than s explains (within a
+    twentieth), they are taken for cut. natural comes as values with counts.
     """
     if not len(natural) or not len(cut_ones):
-        return 1e-4
-    ratios = []
-    for level in np.quantile(cut_ones, np.linspace(0, 1 - least, 40)):
-        ratios.append(((natural >= level) * counts).sum() / counts.sum() / (cut_ones >= level).mean())
-    return float(min(0.5, max(1e-4, min(ratios))))
+        return 1e-4, math.inf
+    above = lambda level: ((natural >= level) * counts).sum() / counts.sum() / (cut_ones >= level).mean()
+    ratios = [above(t) for t in np.quantile(cut_ones, np.linspace(1 - most, 1 - least, 16))]
+    share = float(min(0.5, max(1e-4, np.median(ratios))))
+    pure = [t for t in np.quantile(cut_ones, np.linspace(0, 0.9, 91)) if above(t) <= 1.05 * share]
+    return share, float(min(pure, default=math.inf))
+
+
+def plain_posterior(z: np.ndarray, share: float, pure: float, levels: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """Probability of having been cut of natural texts with evidence z, away from limits."""
+    return np.where(z >= pure, 0.99, np.minimum(share * np.interp(z, levels, ratios), 0.99))
 
 
 def calibrate(natural: np.ndarray, counts: np.ndarray, cut_ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +272,7 @@ def fit_folds(rows: list[list[int]], labels: np.ndarray, folds: np.ndarray, roun
         natural, cut_ones = z[labels == 0], z[labels == 1]
         if k < rounds - 1 and len(natural) and len(cut_ones):
             ones = np.ones(len(natural))
-            weight[labels == 0] = 1 - np.minimum(share_of_cut(natural, ones, cut_ones) * np.interp(natural, *calibrate(natural, ones, cut_ones)), 1)
+            weight[labels == 0] = 1 - plain_posterior(natural, *share_of_cut(natural, ones, cut_ones), *calibrate(natural, ones, cut_ones))
     return models
 
 
@@ -340,12 +348,12 @@ def truncated_texts(records: DataFrame, *, key: str = "doc_id", text: str = "tex
     bins = scored.where(F.col("limit_share") == 0).groupBy(F.round(F.greatest(F.least("evidence", F.lit(20.0)), F.lit(-20.0)), 2).alias("z")).count().collect()
     natural, counts = np.array([b[0] for b in bins]), np.array([b[1] for b in bins], float)
     cut_ones = np.array([_logit(r, models[f]) for r, y, f in zip(rows, labels, folds, strict=True) if y])
-    prior = share_of_cut(natural, counts, cut_ones)
+    prior, pure = share_of_cut(natural, counts, cut_ones)
     levels, ratios = calibrate(natural, counts, cut_ones)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plain = np.minimum(prior * np.interp(batch.column(2).to_numpy(), levels, ratios), 0.99)
+            plain = plain_posterior(batch.column(2).to_numpy(), prior, pure, levels, ratios)
             limit = np.maximum(np.minimum(batch.column(1).to_numpy(), 0.98), prior)
             # the ratio compares cut with natural texts; against intact ones it is what gives `plain` at the prior
             odds = plain / (1 - plain) * (1 - prior) / prior * limit / (1 - limit)
