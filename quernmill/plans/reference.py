@@ -80,7 +80,7 @@ def _sets(found: DataFrame) -> DataFrame:
 
 def freq_itemsets(spark: SparkSession, folder: str) -> DataFrame:
     pairs = cut(itemsets.basket_items(table(spark, folder, "review"), "user_id", "business_id"))
-    return _sets(itemsets.frequent_itemsets(pairs, _support(pairs, SUPPORT_SHARE), 3))
+    return _sets(itemsets.frequent_itemsets(pairs, _support(pairs, SUPPORT_SHARE)))
 
 
 def son_itemsets(spark: SparkSession, folder: str) -> DataFrame:
@@ -312,15 +312,21 @@ def _support_sql(share: float) -> str:
     return f"{_PAIRS}, support AS (SELECT greatest(3, CAST(ceil({share} * count(DISTINCT user_id)) AS BIGINT)) AS least FROM pairs)"
 
 
-def _sets_sql(share: float) -> str:
-    return f"""
-WITH {_support_sql(share)},
-single AS (SELECT business_id AS i, count(*) AS freq FROM pairs GROUP BY 1 HAVING count(*) >= (SELECT least FROM support)),
-held AS (SELECT user_id, business_id AS i FROM pairs WHERE business_id IN (SELECT i FROM single)),
-two AS (SELECT x.i AS i, y.i AS j, count(*) AS freq FROM held x JOIN held y ON x.user_id = y.user_id AND x.i < y.i GROUP BY 1, 2 HAVING count(*) >= (SELECT least FROM support)),
-three AS (SELECT x.i AS i, y.i AS j, z.i AS l, count(*) AS freq FROM two t JOIN held x ON x.i = t.i JOIN held y ON y.user_id = x.user_id AND y.i = t.j JOIN held z ON z.user_id = x.user_id AND z.i > y.i
-  GROUP BY 1, 2, 3 HAVING count(*) >= (SELECT least FROM support))
-SELECT i AS items, 1::BIGINT AS k, freq FROM single UNION ALL SELECT i || ',' || j, 2, freq FROM two UNION ALL SELECT i || ',' || j || ',' || l, 3, freq FROM three"""
+def _sets_sql(share: float, levels: int = 10) -> str:
+    """Level-wise search, written out for so many levels; later ones are empty here."""
+    least = "HAVING count(*) >= (SELECT least FROM support)"
+    parts = [
+        _support_sql(share),
+        f"s1 AS (SELECT business_id AS items, count(*) AS freq FROM pairs GROUP BY 1 {least})",
+        "o1 AS (SELECT user_id, business_id AS items, business_id AS tail FROM pairs WHERE business_id IN (SELECT items FROM s1))",
+    ]
+    for k in range(2, levels + 1):
+        parts += [
+            f"g{k} AS (SELECT o.user_id, o.items || ',' || h.tail AS items, h.tail FROM o{k - 1} o JOIN o1 h ON h.user_id = o.user_id AND h.tail > o.tail)",
+            f"s{k} AS (SELECT items, count(*) AS freq FROM g{k} GROUP BY 1 {least})",
+            f"o{k} AS (SELECT * FROM g{k} WHERE items IN (SELECT items FROM s{k}))",
+        ]
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT items, {k}::BIGINT AS k, freq FROM s{k}" for k in range(1, levels + 1))
 
 
 _SIGNATURES = f"""{_PAIRS}, ranked AS (SELECT business_id, dense_rank() OVER (ORDER BY user_id) - 1 AS x FROM pairs),
