@@ -12,6 +12,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernmill.operators.similarity import common_counts
 from quernmill.session import cut
 
 
@@ -28,28 +29,36 @@ def baskets(df: DataFrame, basket: str, item: str, larger_than: int = 0) -> Data
 def frequent_itemsets(pairs: DataFrame, support: int, max_size: int | None = None) -> DataFrame:
     """items (sorted array), k, freq of every set in at least `support` baskets; pairs: distinct (basket, item).
 
-    Level k extends the frequent sets of each basket by its frequent items after the last one,
-    and keeps the sets all of whose k - 1 subsets are frequent before counting. Items below the
-    support go first, so baskets shrink to what can still form sets.
+    Pairs come from `common_counts` of items over baskets: the support - 1 largest baskets of
+    an item make no candidates, so one huge basket doesn't emit all its pairs. A larger
+    candidate joins two frequent sets that differ in the last item, all of whose other subsets
+    are frequent; it is counted over the baskets known to hold the first of the two.
     """
     single = cut(pairs.groupBy("item").agg(F.count("*").alias("freq")).where(F.col("freq") >= support))
     held = cut(pairs.join(single.select("item"), "item").select("basket", "item"))
     found = single.select(F.array("item").alias("items"), F.lit(1).alias("k"), "freq")
-    level = held.select("basket", F.array("item").alias("items"))
-    frequent, k = found, 1
-    while max_size is None or k < max_size:
+    if max_size == 1:
+        return found
+    frequent = cut(common_counts(held, "item", "basket", support).select(F.array("a", "b").alias("items"), F.lit(2).alias("k"), F.col("n_common").alias("freq")))
+    level, k = None, 2
+    while frequent.head(1):
+        found = found.unionByName(frequent)
         k += 1
-        grown = level.join(held, "basket").where(F.col("item") > F.element_at("items", -1)).select("basket", F.concat("items", F.array("item")).alias("items"))
-        if k > 2:
-            # the subset without the last but one item must be frequent, too: the others were checked on the way
-            other = frequent.select(F.col("items").alias("__sub"))
-            grown = grown.withColumn("__sub", F.concat(F.slice("items", 1, k - 2), F.array(F.element_at("items", -1)))).join(other, "__sub", "left_semi").drop("__sub")
+        if max_size is not None and k > max_size:
+            break
+        sets = frequent.select(F.slice("items", 1, k - 2).alias("head"), F.element_at("items", -1).alias("tail"))
+        grown = sets.join(sets.withColumnRenamed("tail", "new"), "head").where(F.col("tail") < F.col("new"))
+        grown = grown.select(F.concat("head", F.array("tail")).alias("base"), "new", F.concat("head", F.array("tail", "new")).alias("items"))
+        for p in range(k - 2):
+            subset = F.concat(F.slice("items", 1, p), F.slice("items", p + 2, k - p - 1)) if p else F.slice("items", 2, k - 1)
+            grown = grown.withColumn("sub", subset).join(frequent.select(F.col("items").alias("sub")), "sub", "left_semi").drop("sub")
         grown = cut(grown)
-        frequent = cut(grown.groupBy("items").agg(F.count("*").alias("freq")).where(F.col("freq") >= support).select("items", F.lit(k).alias("k"), "freq"))
-        if not frequent.head(1):
+        if not grown.head(1):
             break
-        found = found.unionByName(frequent)
-        level = grown.join(frequent.select("items"), "items", "left_semi").select("basket", "items")
+        if level is None:
+            level = frequent.select("items", F.col("items")[0].alias("item"), F.col("items")[1].alias("other")).join(held, "item").select("items", "basket", F.col("other").alias("item")).join(held, ["basket", "item"]).select("basket", "items")
+        level = cut(level.join(grown, level["items"] == grown["base"]).select("basket", F.col("new").alias("item"), grown["items"]).join(held, ["basket", "item"]).select("basket", "items"))
+        frequent = cut(level.groupBy("items").agg(F.count("*").alias("freq")).where(F.col("freq") >= support).select("items", F.lit(k).alias("k"), "freq"))
     return found
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernmill.functions.hashing import MINHASH_PARAMETERS, MINHASH_PRIME, universal
@@ -11,22 +11,43 @@ from quernmill.session import cut
 
 
 def common_counts(pairs: DataFrame, key: str, item: str, min_common: int) -> DataFrame:
-    """a < b, n_common, n_a, n_b of the keys with at least `min_common` items in common; pairs: distinct rows.
-
-    Prefix filter: with each key's items in order of frequency, the rarest item two such keys
-    share lies before the last min_common - 1 of either. Only those places make candidates, so
-    with min_common > 1 an item that a third of all keys hold makes none by itself, and
-    candidates are verified on the whole item lists.
+    """a < b, n_common, n_a, n_b of the keys with at least `min_common` items in common; repeated rows count once.
+
+    Prefix filter: with items in order of frequency, the rarest item two such keys share lies
+    before the last min_common - 1 of either. Only those places make candidates, so with
+    min_common > 1 an item that a third of all keys hold makes none by itself. Candidates are
+    counted by looking up the items of the smaller key under the larger one, by (key, item);
+    no group is gathered and no join runs on a hot key alone. With min_common = 1 the
+    candidates' join counts by itself.
     """
-    held = pairs.select(F.col(key).alias("k"), F.col(item).alias("i")).where(F.col("k").isNotNull() & F.col("i").isNotNull()).distinct()
-    often = held.groupBy("i").agg(F.count("*").alias("f"))
-    lists = cut(held.join(often, "i").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("f", "i"))).alias("s")).where(F.size("s") >= min_common).select("k", F.transform("s", lambda x: x["i"]).alias("items")))
-    prefix = lists.select("k", F.size("items").alias("n"), F.explode(F.expr(f"slice(items, 1, size(items) - {min_common - 1})")).alias("i"))
+    held = cut(pairs.select(F.col(key).alias("k"), F.col(item).alias("i")).where(F.col("k").isNotNull() & F.col("i").isNotNull()).distinct())
+    sizes = cut(held.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= min_common))
+    sa, sb = (sizes.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    kept = held.join(sizes.select("k"), "k")
+    if min_common == 1:
+        a, b = (kept.select("i", F.col("k").alias(x)) for x in "ab")
+        met = a.join(b, "i").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count("*").alias("n_common"))
+        return met.join(sa, "a").join(sb, "b").select("a", "b", "n_common", "n_a", "n_b")
+    often = kept.groupBy("i").agg(F.count("*").alias("f")).where(F.col("f") > 1)
+    kept = cut(kept.join(often, "i"))
+    last = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("f"), F.desc("i")))  # ranked before the shuffle as well
+    common_ones = kept.withColumn("r", last).where(F.col("r") <= min_common - 1).select("k", "i")
+    prefix = cut(kept.join(common_ones, ["k", "i"], "left_anti").select("k", "i"))
     a, b = (prefix.select("i", F.col("k").alias(x)) for x in "ab")
     candidates = a.join(b, "i").where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    la, lb = (lists.select(F.col("k").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
-    met = candidates.join(la, "a").join(lb, "b").select("a", "b", F.size(F.array_intersect("items_a", "items_b")).cast("bigint").alias("n_common"), F.size("items_a").cast("bigint").alias("n_a"), F.size("items_b").cast("bigint").alias("n_b"))
-    return met.where(F.col("n_common") >= min_common)
+    sized = candidates.join(sa, "a").join(sb, "b")
+    met = _shared(sized, kept.select("k", "i")).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("n_common"))
+    return met.where(F.col("n_common") >= min_common).select("a", "b", "n_common", "n_a", "n_b")
+
+
+def _shared(sized: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows (k, i, ..) of the smaller key of each pair that have a row of the larger key with the same i; further columns come as lo_.., hi_.."""
+    more = [c for c in rows.columns if c not in ("k", "i")]
+    small = F.when(F.col("n_a") <= F.col("n_b"), F.col("a")).otherwise(F.col("b"))
+    large = F.when(F.col("n_a") <= F.col("n_b"), F.col("b")).otherwise(F.col("a"))
+    lo = rows.select(F.col("k").alias("small"), "i", *[F.col(c).alias(f"lo_{c}") for c in more])
+    hi = rows.select(F.col("k").alias("large"), "i", *[F.col(c).alias(f"hi_{c}") for c in more])
+    return sized.withColumns({"small": small, "large": large}).join(lo, "small").join(hi, ["large", "i"])
 
 
 def jaccard() -> Column:
@@ -65,10 +86,11 @@ def lsh_jaccard(pairs: DataFrame, key: str, item: str, threshold: float, min_com
 
 
 def co_rated(rated: DataFrame, key: str, by: str, value: str, min_common: int) -> DataFrame:
-    """a < b, x, y: the values of both keys for every `by` they share, for keys that share at least min_common."""
-    chosen = cut(common_counts(rated, key, by, min_common).select("a", "b"))
-    ra, rb = (rated.select(F.col(key).alias(x), F.col(by).alias("by"), F.col(value).alias(v)) for x, v in (("a", "x"), ("b", "y")))
-    return chosen.join(ra, "a").join(rb, ["b", "by"]).select("a", "b", "by", "x", "y")
+    """a < b, by, x, y: the values of both keys for every `by` they share, for keys that share at least min_common."""
+    chosen = common_counts(rated, key, by, min_common).select("a", "b", "n_a", "n_b")
+    both = _shared(chosen, rated.select(F.col(key).alias("k"), F.col(by).alias("i"), F.col(value).alias("v")))
+    first = F.col("small") == F.col("a")
+    return both.select("a", "b", F.col("i").alias("by"), F.when(first, F.col("lo_v")).otherwise(F.col("hi_v")).alias("x"), F.when(first, F.col("hi_v")).otherwise(F.col("lo_v")).alias("y"))
 
 
 def pearson_pairs(rated: DataFrame, key: str, by: str, value: str, *, min_common: int = 3, above: float = 1e-9) -> DataFrame:
