@@ -23,8 +23,8 @@ def _draw(*columns):
 def trees_for(recall: float, depth: int) -> int:
     """Trees after which a pair at the threshold is met with probability `recall`, if it takes `depth` splits.
 
-    A shared node has at least one shared child in the mean, Poisson at worst, so a pair lives
-    through d splits with probability q(d) = 1 - exp(-q(d - 1)), q(0) = 1.
+    A shared node has at least one shared child in the mean at every depth (see `_bound`), Poisson
+    at worst, so a pair lives through d splits with probability q(d) = 1 - exp(-q(d - 1)), q(0) = 1.
     """
     q = 1.0
     for _ in range(depth):
@@ -32,6 +32,33 @@ def trees_for(recall: float, depth: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - q)))
 
 
+def _bound(threshold: float, depth: int):
+    """What the hash of a record's token must be below to lead from a node of that depth to a child.
+
+    A pair above the threshold shares at least threshold * n tokens, n being the larger size, and
+    `depth` of them are on the path; of the others each is taken with the inverse of how many there are at least.
+    """
+    return F.lit(float(_ONE)) / F.greatest(threshold * F.col("n") - depth, F.lit(1.0))
+
+
+def _spent(large: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """ca, cb, n_a, n_b of the records of one node that are similar by the tokens of its path alone.
+
+    A pair that shares nothing beyond the path has no child in common. All records of the node
+    share the path, so sizes that suit each other are enough, and each pair met is a result.
+    """
+    fits = lambda m: depth / (F.col("n") + m - depth) >= threshold
+    rows = large.select(F.xxhash64(F.array_sort("path")).alias("path"), "code", "n").where(fits(F.lit(depth))).distinct()
+    sizes = F.sequence(F.lit(depth).cast("bigint"), F.lit(math.floor(depth / threshold) + 1).cast("bigint"))
+    paired = cut(rows.withColumn("m", F.explode(F.filter(sizes, fits))))
+    a = paired.where(F.col("n") <= F.col("m")).select("path", F.col("n").alias("lo"), F.col("m").alias("hi"), F.col("code").alias("x"))
+    b = paired.where(F.col("n") >= F.col("m")).select("path", F.col("m").alias("lo"), F.col("n").alias("hi"), F.col("code").alias("y"))
+    met = a.join(b, ["path", "lo", "hi"]).where((F.col("x") != F.col("y")) & ((F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y"))))
+    first = F.col("x") < F.col("y")
+    ends = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
+    return met.select(ends("x", "y").alias("ca"), ends("y", "x").alias("cb"), ends("lo", "hi").alias("n_a"), ends("hi", "lo").alias("n_b")).distinct()
+
+
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Exact pairs of each node's records; rows (node, code, n, tokens) come sorted by node."""
     node = None
@@ -81,10 +108,11 @@ def similar_sets(records: DataFrame, key: str, value: str, *, threshold: float,
     set, and are pairs of similarity 1 among themselves. `expand_pairs` writes them all out.
 
     Splitting: in each of `trees_for(recall, depth)` trees a record x in a node goes to the
-    child of each of its tokens t whose hash h(tree, node, t) is below 1 / (threshold * |x|),
-    so two records above the threshold share a child in the mean at least. A node of at most
-    `leaf` records is compared pair by pair, exactly; larger ones split again, up to `depth`
-    times, and are then compared in blocks. First-level nodes of one token are nested over
+    child of each of its unused tokens t whose hash h(tree, node, t) is below 1 / (threshold *
+    |x| - tokens used), so two records above the threshold share a child in the mean at least. A
+    node of at most `leaf` records is compared pair by pair, exactly; larger ones split again, up
+    to `depth` times, and are then compared in blocks. Pairs whose shared tokens are used up
+    before that are joined within the large node, by size (`_spent`). First-level nodes of one token are nested over
     the trees, so only the largest is compared. Found pairs are exact; a pair at the threshold
     is found with probability `recall` or more.
 
@@ -119,7 +147,8 @@ def similar_sets(records: DataFrame, key: str, value: str, *, threshold: float,
 
     giants = bool(keys.where(F.col("n") > largest_set).head(1))
     listed = lone.where(F.col("n") <= largest_set) if giants else lone
-    bound = F.lit(float(_ONE)) / (threshold * F.col("n"))
+    bound = _bound(threshold, 0)
+    spent = []
     lowest = [_draw(F.col("tok"), F.lit(t)) for t in range(trees)]
     chosen = cut(listed.where((F.least(*lowest) if trees > 1 else lowest[0]) < bound))
     count = chosen.groupBy("tok").agg(F.count("*").alias("size")).where(F.col("size") > 1)
@@ -142,11 +171,17 @@ def similar_sets(records: DataFrame, key: str, value: str, *, threshold: float,
                 split = large.select("node", "code", own.alias("own"), other.alias("other"))
                 leaves = leaves.unionByName(split.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "code"))
                 break
+            if d / (2 * max(d, min_size) - d) >= threshold:
+                spent.append(_spent(large, d, threshold))
             step = large.select("tree", "node", "path", "code").join(listed, "code").where(~F.array_contains("path", F.col("tok")))
-            level = step.where(_draw(F.col("tok"), F.col("node")) < bound).select("tree", F.xxhash64("node", "tok").alias("node"), F.concat("path", F.array("tok")).alias("path"), "code", "n")
+            level = step.where(_draw(F.col("tok"), F.col("node")) < _bound(threshold, d)).select("tree", F.xxhash64("node", "tok").alias("node"), F.concat("path", F.array("tok")).alias("path"), "code", "n")
     sets = listed.groupBy("code", "n").agg(F.collect_list("tok").alias("tokens"))
     compared = leaves.join(sets, "code").select("node", "code", "n", "tokens").repartition("node").sortWithinPartitions("node")
-    pairs = compared.mapInArrow(lambda batches: _compare(batches, threshold), _PAIR).dropDuplicates(["ca", "cb"])
+    pairs = compared.mapInArrow(lambda batches: _compare(batches, threshold), _PAIR)
+    for met in spent:
+        ends = [sets.select(F.col("code").alias(f"c{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab"]
+        pairs = pairs.unionByName(met.join(ends[0], "ca").join(ends[1], "cb").select("ca", "cb", F.size(F.array_intersect("tokens_a", "tokens_b")).cast("bigint").alias("n_both"), "n_a", "n_b"))
+    pairs = pairs.dropDuplicates(["ca", "cb"])
     if giants:
         big = lone.where(F.col("n") >= largest_set * threshold)
         a, b = (big.select("tok", F.col("code").alias(f"c{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")

@@ -61,6 +61,20 @@ def test_similar_sets(spark, options):
     assert got <= wanted and len(got) >= 0.99 * len(wanted) > 10
 
 
+@pytest.mark.parametrize("threshold", [0.4, 0.5])
+def test_similar_sets_that_run_out_of_tokens(spark, threshold):
+    """Few shared tokens, all of them in large nodes, with the default min_size: every pair must come."""
+    sets = {"a": {"a"}, "ab": {"a", "b"}, "abc": {"a", "b", "c"}, "copy": {"a"}}
+    for i in range(25):
+        sets[f"one{i}"] = {"a", f"x{i}"}
+        sets[f"two{i}"] = {"a", "b", f"y{i}"}
+        sets[f"more{i}"] = {"a", "b", f"x{i}", f"y{(i + 1) % 25}"}
+    wanted = {(a, b, len(sets[a] & sets[b])) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
+    pairs, members = similar_sets(sets_to_frame(spark, sets), "key", "value", threshold=threshold, leaf=6)
+    got = [(r["key_a"], r["key_b"], r["n_both"]) for r in expand_pairs(pairs, members).collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 100
+
+
 def test_similar_sets_of_nothing(spark):
     df = spark.createDataFrame([], "key string, value string")
     assert expand_pairs(*similar_sets(df, "key", "value", threshold=0.5)).count() == 0
