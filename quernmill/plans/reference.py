@@ -98,8 +98,9 @@ def minhash_signatures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lsh_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """All partners of every band, whatever their sizes; the SQL still leaves out those of sizes ten times apart."""
     signatures = cut(minhash_signatures(spark, folder))
-    return similarity.lsh_pairs(signatures, "business_id", len(MINHASH_PARAMETERS), 1, 0.1)
+    return similarity.lsh_pairs(signatures, "business_id", len(MINHASH_PARAMETERS))
 
 
 def lsh_jaccard(spark: SparkSession, folder: str) -> DataFrame:

@@ -27,6 +27,13 @@ def test_the_rest(spark):
     assert reference.hybrid_blend(spark, FOLDER).where("stars is null").count() == 0
 
 
+def test_candidates_hold_all_that_lsh_confirms(spark):
+    folder = FOLDER.replace("0.001", "0.01")
+    confirmed = {(r["a"], r["b"]) for r in reference.lsh_jaccard(spark, folder).collect()}
+    candidates = {(r["a"], r["b"]) for r in reference.lsh_candidates(spark, folder).collect()}
+    assert confirmed <= candidates and len(confirmed) > 1000
+
+
 def test_entry():
     import __spark_entry__ as entry
 
