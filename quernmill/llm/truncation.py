@@ -81,7 +81,7 @@ def _marks(text: str, body: str, sign: str, words: list[str], gap: str) -> list[
     kind = "letter" if last.isalpha() else "digit" if last.isdigit() else "blank" if last.isspace() else "broken" if last == "\ufffd" else last if ord(last[0]) < 0x250 else "sign"
     closed = gap.rstrip(" \t)\"'»”’*_")
     stop = closed[-1:] in _STOP and bool(closed[-1:])
-    sentence = re.split(r"[.!?;\n]", body[-400:])[-1]
+    sentence = body[max(body.rfind(c) for c in ".!?;\n") + 1 :]
     out = [f"last {kind}", f"sign {sign}", f"stop {stop}", f"sign {sign} stop {stop} {kind}", f"length {min(len(word), 12)}", f"words {min(len(words), 4)}", f"words {min(len(words), 4)} {stop}"]
     if "(" in sentence and sentence.rfind("(") > sentence.rfind(")"):
         out.append("open bracket")

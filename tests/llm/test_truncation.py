@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quernmill.llm.truncation import _ending, share_of_cut, truncated_texts
+from quernmill.llm.truncation import _ending, _marks, share_of_cut, truncated_texts
 from tests.helpers import FOLDER
 
 SUBJECTS = "the cook,our waiter,a friend,the small cafe,my sister,the old garden,every guest,the new menu".split(",")
@@ -71,3 +71,11 @@ def test_held_out_cuts(spark):
     n = {(r["truth"], r["is_truncated"]): r["count"] for r in judged.groupBy("truth", "is_truncated").count().collect()}
     assert n.get((True, True), 0) >= 0.75 * (n.get((True, True), 0) + n.get((True, False), 0))
     assert n.get((False, True), 0) <= 0.02 * (n.get((False, True), 0) + n.get((False, False), 0))
+
+
+def test_marks_of_a_long_last_sentence():
+    """What a sentence opens counts, however long ago."""
+    for opened, mark in (("(", "open bracket"), ("¿", "open ¿")):
+        text = f"Done. It was {opened}then " + "and on " * 100
+        assert mark in _marks(text, text, "", ["on"], " ")
+        assert mark not in _marks(text, f"{text}. And", "", ["and"], "")
