@@ -177,3 +177,20 @@ def test_sketches(spark):
     assert sketches.reservoir(spark.range(1000), "id", 100).distinct().count() == 100
     counts = spark.createDataFrame([(t,) for t, k in zip("abcde", (17, 9, 5, 1, 9)) for _ in range(k)], "t string")
     assert got(sketches.top_count_ranks(counts, "t")) == [("a", 17), ("b", 9), ("c", 5), ("e", 9)]
+
+
+def test_blend_boosts_a_hundred_rounds(spark, monkeypatch):
+    trees = []
+
+    class Watched(recommend.GBTRegressor):
+        def _fit(self, dataset):
+            model = super()._fit(dataset)
+            trees.append((model.getNumTrees, model.getMaxDepth()))
+            return model
+
+    monkeypatch.setattr(recommend, "GBTRegressor", Watched)
+    ratings = spark.createDataFrame([(f"u{i % 5}", f"b{i % 7}", float(i % 5 + 1)) for i in range(35)], "user_id string, business_id string, stars double")
+    features = recommend.rating_features(ratings).drop("stars").limit(3)
+    wanted = features.select("user_id", "business_id", F.lit(3.0).alias("stars"))
+    assert recommend.blended_predictions(ratings, wanted, features).where("stars between 1 and 5").count() == 3
+    assert trees == [(100, 6)]
