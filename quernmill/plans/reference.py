@@ -240,7 +240,7 @@ def mahalanobis_assign(spark: SparkSession, folder: str) -> DataFrame:
 
 def _bfr(spark, folder):
     pts = cut(_points(spark, folder))
-    return clustering.bfr(pts, [pts.where(F.col("id") % POINT_ROUNDS == r) for r in range(POINT_ROUNDS)], 10)
+    return clustering.bfr(pts, [pts.where(F.pmod("id", F.lit(POINT_ROUNDS)) == r) for r in range(POINT_ROUNDS)], 10)
 
 
 def bfr_assignment(spark: SparkSession, folder: str) -> DataFrame:

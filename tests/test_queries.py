@@ -38,3 +38,11 @@ def test_entry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_points_with_negative_ids_come_into_a_round(spark, monkeypatch):
+    rows = [(i, [float(i % 3), float(i % 7)]) for i in range(-20, 20)]
+    monkeypatch.setattr(reference, "_points", lambda s, _: s.createDataFrame(rows, "id long, features array<double>"))
+    monkeypatch.setattr(reference.clustering, "bfr", lambda pts, rounds, k: (rounds, k))
+    ids = [r["id"] for part in reference._bfr(spark, "")[0] for r in part.collect()]
+    assert sorted(ids) == list(range(-20, 20))
