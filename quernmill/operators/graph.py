@@ -49,7 +49,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """id, component: the smallest id that can be reached, by alternating large-star and small-star steps.
 
     Every step rewrites each vertex's edges to the least neighbour, so long chains shrink by
-    half and no vertex keeps a large neighbourhood; only counts come to the driver.
+    half and no vertex keeps a large neighbourhood; only counts come to the driver. Raises if the last round still changes something.
     """
     links = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where(F.col("u") != F.col("v")).distinct())
     vertices = cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
@@ -65,6 +65,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if state == previous:
             break
         previous = state
+    else:
+        raise ValueError(f"components still change after {most_rounds} rounds")
     roots = links.groupBy("u").agg(F.min("v").alias("component"))
     return vertices.join(roots, F.col("id") == F.col("u"), "left").select("id", F.coalesce("component", "id").alias("component"))
 

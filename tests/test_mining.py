@@ -194,3 +194,9 @@ def test_blend_boosts_a_hundred_rounds(spark, monkeypatch):
     wanted = features.select("user_id", "business_id", F.lit(3.0).alias("stars"))
     assert recommend.blended_predictions(ratings, wanted, features).where("stars between 1 and 5").count() == 3
     assert trees == [(100, 6)]
+
+
+def test_components_without_enough_rounds(spark):
+    edges = spark.createDataFrame([(f"v{i:02}", f"v{i + 1:02}") for i in range(20)], "src string, dst string")
+    with pytest.raises(ValueError, match="rounds"):
+        graph.connected_components(edges, most_rounds=1)
