@@ -53,9 +53,12 @@ def distinct_estimate(compat: bool = False) -> Column:
 
 
 def reservoir(df: DataFrame, order: str, size: int = 100, seed: int = 12345) -> DataFrame:
-    """A sample of `size` rows without replacement, the same in any partitioning: the least values of a hash of `order`."""
-    draw = (F.lit(1103515245).cast("bigint") * F.col(order) + seed) % 2147483648
-    return df.withColumn("__draw", draw).orderBy("__draw", order).limit(size).drop("__draw")
+    """A sample of `size` rows without replacement, the same in any partitioning: the least values of a hash of `order`.
+
+    The hash is taken of `order` modulo 2 ** 31, so it is defined for every BIGINT; rows without `order` take no part.
+    """
+    draw = (F.lit(1103515245).cast("bigint") * F.pmod(F.col(order), F.lit(2147483648)) + seed) % 2147483648
+    return df.where(F.col(order).isNotNull()).withColumn("__draw", draw).orderBy("__draw", order).limit(size).drop("__draw")
 
 
 def top_count_ranks(df: DataFrame, column: str, ranks: int = 3) -> DataFrame:

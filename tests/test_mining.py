@@ -188,6 +188,8 @@ def test_blend_boosts_a_hundred_rounds(spark, monkeypatch):
             trees.append((model.getNumTrees, model.getMaxDepth()))
             return model
 
+    far = spark.createDataFrame([(10**10 + i,) for i in range(50)] + [(None,), (-5,)], "id bigint")
+    assert sketches.reservoir(far, "id", 100).count() == 51
     monkeypatch.setattr(recommend, "GBTRegressor", Watched)
     ratings = spark.createDataFrame([(f"u{i % 5}", f"b{i % 7}", float(i % 5 + 1)) for i in range(35)], "user_id string, business_id string, stars double")
     features = recommend.rating_features(ratings).drop("stars").limit(3)
