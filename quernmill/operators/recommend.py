@@ -61,11 +61,11 @@ def with_fallback(rated: DataFrame, predictions: DataFrame, test: DataFrame) ->
     """user_id, business_id, stars for every wanted pair with a known user or business.
 
     The prediction, else the user's mean, else (unknown user) the business's mean, else the
-    mean of the user means.
+    mean of the business means.
     """
     users = rated.groupBy("user_id").agg(F.avg("stars").alias("u"))
     items = rated.groupBy("business_id").agg(F.avg("stars").alias("i"))
-    overall = users.agg(F.avg("u")).head()[0]
+    overall = items.agg(F.avg("i")).head()[0]
     joined = _wanted(test).join(predictions.select("user_id", "business_id", F.col("stars").alias("p")), ["user_id", "business_id"], "left").join(users, "user_id", "left").join(items, "business_id", "left")
     return joined.select("user_id", "business_id", F.round(F.coalesce("p", "u", "i", F.lit(overall)), 6).alias("stars"))
 

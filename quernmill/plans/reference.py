@@ -416,7 +416,7 @@ FROM ratings WINDOW u AS (PARTITION BY user_id), b AS (PARTITION BY business_id)
     "hybrid_cf_fallback": f"""
 WITH {_RATINGS}, {_pearson('business_id', 'user_id')}, {_BOTH}, {_ITEM_CF},
 u AS (SELECT user_id, avg(stars) AS v FROM rated GROUP BY 1), b AS (SELECT business_id, avg(stars) AS v FROM rated GROUP BY 1)
-SELECT w.user_id, w.business_id, round(coalesce(p.stars, u.v, b.v, (SELECT avg(v) FROM u)), 6) AS stars
+SELECT w.user_id, w.business_id, round(coalesce(p.stars, u.v, b.v, (SELECT avg(v) FROM b)), 6) AS stars
 FROM wanted w LEFT JOIN predicted p USING (user_id, business_id) LEFT JOIN u USING (user_id) LEFT JOIN b USING (business_id)""",
     "hybrid_test_fill": """
 WITH wanted AS (SELECT DISTINCT user_id, business_id FROM test_pairs WHERE user_id IS NOT NULL AND business_id IS NOT NULL),
