@@ -98,7 +98,7 @@ def minhash_signatures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lsh_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """All partners of every band, whatever their sizes; the SQL still leaves out those of sizes ten times apart."""
+    """All partners of every band, whatever their sizes."""
     signatures = cut(minhash_signatures(spark, folder))
     return similarity.lsh_pairs(signatures, "business_id", len(MINHASH_PARAMETERS))
 
@@ -380,7 +380,7 @@ SELECT word, count(*) AS n FROM words WHERE word <> '' AND word NOT IN (SELECT w
     "son_itemsets": _sets_sql(SON_SHARE),
     "fpgrowth_itemsets": _sets_sql(SON_SHARE),
     "minhash_signatures": f"WITH {_SIGNATURES} SELECT * FROM signatures",
-    "lsh_candidates": f"WITH {_SIGNATURES}, {_BANDS}, {_MET} AND least(x.n_items, y.n_items) >= 0.1 * greatest(x.n_items, y.n_items)) SELECT a, b FROM met",
+    "lsh_candidates": f"WITH {_SIGNATURES}, {_BANDS}, {_MET}) SELECT a, b FROM met",
     "lsh_jaccard": f"""
 WITH {_SIGNATURES}, {_BANDS}, {_MET}), {_common("business_id", "user_id", 1)}
 SELECT a, b, round(n_common / (x.n + y.n - n_common), 6) AS similarity FROM common JOIN met USING (a, b) JOIN sizes x ON x.k = a JOIN sizes y ON y.k = b WHERE n_common / (x.n + y.n - n_common) >= 0.05""",
