@@ -10,34 +10,73 @@ from quernmill.operators.codes import ordered_codes
 from quernmill.session import cut
 
 
-def common_counts(pairs: DataFrame, key: str, item: str, min_common: int) -> DataFrame:
-    """a < b, n_common, n_a, n_b of the keys with at least `min_common` items in common; repeated rows count once.
-
-    Prefix filter: with items in order of frequency, the rarest item two such keys share lies
-    before the last min_common - 1 of either. Only those places make candidates, so with
-    min_common > 1 an item that a third of all keys hold makes none by itself. Candidates are
-    counted by looking up the items of the smaller key under the larger one, by (key, item);
-    no group is gathered and no join runs on a hot key alone. With min_common = 1 the
-    candidates' join counts by itself.
+def _needed(min_common: int, threshold: float) -> Column:
+    """How many items a key of n has in common with every partner at least: a Jaccard similarity of t takes t * n."""
+    return F.greatest(F.lit(min_common), F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int"))
+
+
+def _prefixes(held: DataFrame, min_common: int, threshold: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of written rows (k, i, ..): sizes (k, n), the rows that can be shared, and their prefixes (k, i).
+
+    With a key's items in order of frequency, the rarest item that two keys share lies before
+    the last `needed - 1` of either, so only those places need to meet.
     """
-    held = cut(pairs.select(F.col(key).alias("k"), F.col(item).alias("i")).where(F.col("k").isNotNull() & F.col("i").isNotNull()).distinct())
     sizes = cut(held.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= min_common))
+    often = held.join(sizes.select("k"), "k").groupBy("i").agg(F.count("*").alias("f")).where(F.col("f") > 1)
+    kept = cut(held.join(often, "i").join(sizes, "k"))
+    last = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("f"), F.desc("i")))
+    common_ones = kept.withColumn("r", last).where(F.col("r") < _needed(min_common, threshold)).select("k", "i")
+    prefix = kept.select("k", "i") if min_common == 1 and not threshold else kept.join(common_ones, ["k", "i"], "left_anti").select("k", "i")
+    return sizes, kept.drop("f", "n"), cut(prefix)
+
+
+def _sized(candidates: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """Candidates (a, b) with n_a, n_b; those whose sizes rule the similarity out are left out."""
     sa, sb = (sizes.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    kept = held.join(sizes.select("k"), "k")
-    if min_common == 1:
-        a, b = (kept.select("i", F.col("k").alias(x)) for x in "ab")
-        met = a.join(b, "i").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count("*").alias("n_common"))
-        return met.join(sa, "a").join(sb, "b").select("a", "b", "n_common", "n_a", "n_b")
-    often = kept.groupBy("i").agg(F.count("*").alias("f")).where(F.col("f") > 1)
-    kept = cut(kept.join(often, "i"))
-    last = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("f"), F.desc("i")))  # ranked before the shuffle as well
-    common_ones = kept.withColumn("r", last).where(F.col("r") <= min_common - 1).select("k", "i")
-    prefix = cut(kept.join(common_ones, ["k", "i"], "left_anti").select("k", "i"))
-    a, b = (prefix.select("i", F.col("k").alias(x)) for x in "ab")
-    candidates = a.join(b, "i").where(F.col("a") < F.col("b")).select("a", "b").distinct()
     sized = candidates.join(sa, "a").join(sb, "b")
-    met = _shared(sized, kept.select("k", "i")).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("n_common"))
-    return met.where(F.col("n_common") >= min_common).select("a", "b", "n_common", "n_a", "n_b")
+    return sized.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) if threshold else sized
+
+
+def _met(rows: DataFrame, on: list[str]) -> DataFrame:
+    """Distinct a < b of the keys k that agree in `on`."""
+    a, b = (rows.select(*on, F.col("k").alias(x)) for x in "ab")
+    return a.join(b, on).where(F.col("a") < F.col("b")).select("a", "b").distinct()
+
+
+def _holdings(pairs: DataFrame, key: str, item: str) -> DataFrame:
+    return cut(pairs.select(F.col(key).alias("k"), F.col(item).alias("i")).where(F.col("k").isNotNull() & F.col("i").isNotNull()).distinct())
+
+
+def common_counts(pairs: DataFrame, key: str, item: str, min_common: int, threshold: float = 0.0) -> DataFrame:
+    """a < b, n_common, n_a, n_b of the keys with at least `min_common` items in common and a Jaccard similarity >= threshold; repeated rows count once.
+
+    Either the self-join on the item counts by itself, where `_cheap` finds it of the order of
+    the rows, or only the items of the prefixes make candidates, so that an item which a third
+    of all keys hold makes none by itself where more than one common item is needed. Candidates
+    are counted by looking up the items of the smaller key under the larger one, by (key, item);
+    no group is gathered and no join runs on a hot key alone. The result is the same. Where one
+    common item is enough for every pair, each row of the self-join belongs to a result.
+    """
+    held = _holdings(pairs, key, item)
+    if (min_common == 1 and not threshold) or _cheap(held):
+        sizes = cut(held.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= min_common))
+        a, b = (held.select("i", F.col("k").alias(x)) for x in "ab")
+        met = a.join(b, "i").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count("*").alias("n_common")).where(F.col("n_common") >= min_common)
+        met = _sized(met, sizes, threshold)
+        return (met.where(jaccard() >= threshold) if threshold else met).select("a", "b", "n_common", "n_a", "n_b")
+    sizes, kept, prefix = _prefixes(held, min_common, threshold)
+    return _verified(_sized(_met(prefix, ["i"]), sizes, threshold), kept, min_common, threshold)
+
+
+def _cheap(held: DataFrame, factor: int = 32) -> bool:
+    """Whether the self-join on the item makes at most `factor` rows for each row held."""
+    n, met = held.groupBy("i").agg(F.count("*").cast("double").alias("f")).agg(F.sum("f"), F.sum(F.col("f") * (F.col("f") - 1) / 2)).head()
+    return (met or 0) <= factor * (n or 0)
+
+
+def _verified(sized: DataFrame, kept: DataFrame, min_common: int, threshold: float) -> DataFrame:
+    met = _shared(sized, kept).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("n_common")).where(F.col("n_common") >= min_common)
+    return (met.where(jaccard() >= threshold) if threshold else met).select("a", "b", "n_common", "n_a", "n_b")
 
 
 def _shared(sized: DataFrame, rows: DataFrame) -> DataFrame:
@@ -55,8 +94,8 @@ def jaccard() -> Column:
 
 
 def jaccard_pairs(pairs: DataFrame, key: str, item: str, threshold: float, min_common: int = 1) -> DataFrame:
-    """a < b, similarity of all keys whose item sets have Jaccard similarity >= threshold."""
-    return common_counts(pairs, key, item, min_common).withColumn("similarity", jaccard()).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    """a < b, similarity of all keys with a common item whose item sets have Jaccard similarity >= threshold."""
+    return common_counts(pairs, key, item, min_common, threshold).select("a", "b", jaccard().alias("similarity"))
 
 
 def minhash_signatures(pairs: DataFrame, key: str, item: str, parameters: list[tuple[int, int]] = MINHASH_PARAMETERS, prime: int = MINHASH_PRIME) -> DataFrame:
@@ -66,29 +105,47 @@ def minhash_signatures(pairs: DataFrame, key: str, item: str, parameters: list[t
     return ranked.groupBy(key).agg(F.count("*").alias("n_items"), *[F.min(universal(F.col("__x"), a, b, prime)).alias(f"h{k}") for k, (a, b) in enumerate(parameters, 1)])
 
 
-def lsh_pairs(signatures: DataFrame, key: str, n_hashes: int, rows: int = 1, threshold: float = 0.0) -> DataFrame:
-    """a < b that agree in all `rows` hashes of some band; sizes that can't reach the threshold don't meet."""
+def _bands(signatures: DataFrame, key: str, n_hashes: int, rows: int) -> DataFrame:
+    """k, n, band, value: one row for each band of `rows` hashes."""
     bands = [F.struct(F.lit(k).alias("band"), F.array(*[F.col(f"h{h}") for h in range(k + 1, k + rows + 1)]).alias("value")) for k in range(0, n_hashes - rows + 1, rows)]
-    spread = signatures.select(F.col(key).alias("k"), "n_items", F.explode(F.array(*bands)).alias("s")).select("k", "n_items", "s.band", "s.value")
-    a, b = (spread.select("band", "value", F.col("k").alias(x), F.col("n_items").alias(f"n_{x}")) for x in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    return a.join(b, ["band", "value"]).where(fits).select("a", "b").distinct()
+    return signatures.select(F.col(key).alias("k"), F.col("n_items").alias("n"), F.explode(F.array(*bands)).alias("s")).select("k", "n", "s.band", "s.value")
+
 
+def lsh_pairs(signatures: DataFrame, key: str, n_hashes: int, rows: int = 1) -> DataFrame:
+    """a < b that agree in all `rows` hashes of some band. With rows = 1 a common value meets every other key that has it: its whole bucket is the result."""
+    return _met(_bands(signatures, key, n_hashes, rows), ["band", "value"])
 
-def lsh_jaccard(pairs: DataFrame, key: str, item: str, threshold: float, min_common: int = 1) -> DataFrame:
-    """a < b, similarity of the banding candidates (bands of one hash) that exact sets confirm."""
-    signatures = cut(minhash_signatures(pairs, key, item))
-    exact = common_counts(pairs, key, item, min_common).withColumn("similarity", jaccard()).where(F.col("similarity") >= threshold)
-    sa, sb = (signatures.select(F.col(key).alias(x), F.array(*[f"h{k}" for k in range(1, len(MINHASH_PARAMETERS) + 1)]).alias(f"s_{x}")) for x in "ab")
-    # confirmed pairs are few; which of them share a band is read off their signatures, so no bucket is ever expanded
-    met = exact.join(sa, "a").join(sb, "b").where(F.exists(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda e: e))
-    return met.select("a", "b", "similarity")
+
+def lsh_jaccard(pairs: DataFrame, key: str, item: str, threshold: float, min_common: int = 1, rows: int = 1, hot: int = 50) -> DataFrame:
+    """a < b, similarity of the banding candidates whose exact sets have at least `min_common` common items and a Jaccard similarity >= threshold.
+
+    Candidates agree in a band of `rows` hashes; their sets are then compared as in
+    `common_counts`. A bucket of more than `hot` keys is split by the items of their prefixes:
+    a pair that will be confirmed shares one, so no such pair is lost and the others of the
+    bucket don't meet. One row a band, as at a threshold of 0.05, makes nearly all candidates there are;
+    with the threshold t and b bands, 1 - (1 - t ** rows) ** b of the pairs at it are found.
+    """
+    held = _holdings(pairs, key, item)
+    sizes, kept, prefix = _prefixes(held, min_common, threshold)
+    bands = cut(_bands(minhash_signatures(held, "k", "i"), "k", len(MINHASH_PARAMETERS), rows))
+    buckets = bands.groupBy("band", "value").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    placed = cut(bands.join(sizes.select("k"), "k").join(buckets, ["band", "value"]))
+    split = placed.where(F.col("size") > hot).join(prefix, "k")
+    met = _met(placed.where(F.col("size") <= hot), ["band", "value"]).unionByName(_met(split, ["band", "value", "i"])).distinct()
+    return _verified(_sized(met, sizes, threshold), kept, min_common, threshold).select("a", "b", jaccard().alias("similarity"))
 
 
 def co_rated(rated: DataFrame, key: str, by: str, value: str, min_common: int) -> DataFrame:
-    """a < b, by, x, y: the values of both keys for every `by` they share, for keys that share at least min_common."""
-    chosen = common_counts(rated, key, by, min_common).select("a", "b", "n_a", "n_b")
-    both = _shared(chosen, rated.select(F.col(key).alias("k"), F.col(by).alias("i"), F.col(value).alias("v")))
+    """a < b, by, x, y: the values of both keys for every `by` they share, of all keys that can share min_common; those sharing fewer than min_common are still to be dropped.
+
+    Several values of one (key, by) count as their mean. The values travel with the candidates, so one join serves count and moments.
+    """
+    held = cut(rated.select(F.col(key).alias("k"), F.col(by).alias("i"), F.col(value).alias("v")).where(F.col("k").isNotNull() & F.col("i").isNotNull() & F.col("v").isNotNull()).groupBy("k", "i").agg(F.avg("v").alias("v")))
+    if _cheap(held):
+        a, b = (held.select("i", F.col("k").alias(x), F.col("v").alias(v)) for x, v in (("a", "x"), ("b", "y")))
+        return a.join(b, "i").where(F.col("a") < F.col("b")).select("a", "b", F.col("i").alias("by"), "x", "y")
+    sizes, kept, prefix = _prefixes(held, min_common)
+    both = _shared(_sized(_met(prefix, ["i"]), sizes, 0.0), kept)
     first = F.col("small") == F.col("a")
     return both.select("a", "b", F.col("i").alias("by"), F.when(first, F.col("lo_v")).otherwise(F.col("hi_v")).alias("x"), F.when(first, F.col("hi_v")).otherwise(F.col("lo_v")).alias("y"))
 
@@ -98,14 +155,14 @@ def pearson_pairs(rated: DataFrame, key: str, by: str, value: str, *, min_common
 
     Raw moments and guards instead of corr(), which fails on zero variance.
     """
-    m = co_rated(rated, key, by, value, min_common).groupBy("a", "b").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg(F.col("x") * F.col("y")).alias("xy"), F.avg(F.col("x") * F.col("x")).alias("xx"), F.avg(F.col("y") * F.col("y")).alias("yy"))
+    m = co_rated(rated, key, by, value, min_common).groupBy("a", "b").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg(F.col("x") * F.col("y")).alias("xy"), F.avg(F.col("x") * F.col("x")).alias("xx"), F.avg(F.col("y") * F.col("y")).alias("yy"))
     vx, vy = F.col("xx") - F.col("mx") * F.col("mx"), F.col("yy") - F.col("my") * F.col("my")
     sim = F.when((vx > 1e-9) & (vy > 1e-9), (F.col("xy") - F.col("mx") * F.col("my")) / F.sqrt(vx * vy))
-    return m.select("a", "b", F.round(sim, 6).alias("sim")).where(F.col("sim") > above)
+    return m.where(F.col("n") >= min_common).select("a", "b", F.round(sim, 6).alias("sim")).where(F.col("sim") > above)
 
 
 def slope_pairs(rated: DataFrame, key: str, by: str, value: str, *, min_common: int = 3, above: float = 1e-9) -> DataFrame:
     """a < b, slope of b's values on a's over what both have, > above; no row where a doesn't vary."""
-    m = co_rated(rated, key, by, value, min_common).groupBy("a", "b").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg(F.col("x") * F.col("y")).alias("xy"), F.avg(F.col("x") * F.col("x")).alias("xx"))
+    m = co_rated(rated, key, by, value, min_common).groupBy("a", "b").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg(F.col("x") * F.col("y")).alias("xy"), F.avg(F.col("x") * F.col("x")).alias("xx"))
     vx = F.col("xx") - F.col("mx") * F.col("mx")
-    return m.select("a", "b", F.round(F.when(vx > 1e-9, (F.col("xy") - F.col("mx") * F.col("my")) / vx), 6).alias("slope")).where(F.col("slope") > above)
+    return m.where(F.col("n") >= min_common).select("a", "b", F.round(F.when(vx > 1e-9, (F.col("xy") - F.col("mx") * F.col("my")) / vx), 6).alias("slope")).where(F.col("slope") > above)

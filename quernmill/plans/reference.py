@@ -135,15 +135,15 @@ def profile_cosine(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def item_pearson(spark: SparkSession, folder: str) -> DataFrame:
-    return similarity.pearson_pairs(cut(recommend.pair_ratings(_ratings(spark, folder))), "business_id", "user_id", "stars")
+    return similarity.pearson_pairs(_ratings(spark, folder), "business_id", "user_id", "stars")
 
 
 def user_pearson(spark: SparkSession, folder: str) -> DataFrame:
-    return similarity.pearson_pairs(cut(recommend.pair_ratings(_ratings(spark, folder))), "user_id", "business_id", "stars")
+    return similarity.pearson_pairs(_ratings(spark, folder), "user_id", "business_id", "stars")
 
 
 def user_slope(spark: SparkSession, folder: str) -> DataFrame:
-    return similarity.slope_pairs(cut(recommend.pair_ratings(_ratings(spark, folder))), "user_id", "business_id", "stars")
+    return similarity.slope_pairs(_ratings(spark, folder), "user_id", "business_id", "stars")
 
 
 def item_cf_predict(spark: SparkSession, folder: str) -> DataFrame:

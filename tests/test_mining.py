@@ -54,16 +54,23 @@ def test_itemsets(baskets, search):
     assert found == wanted
 
 
-def test_common_counts_brute_force(spark):
+@pytest.mark.parametrize("direct", [True, False])
+def test_common_counts_brute_force(spark, monkeypatch, direct):
+    monkeypatch.setattr(similarity, "_cheap", lambda held: direct)
     rng = np.random.default_rng(1)
     sets = {f"k{i}": {f"i{j}" for j in rng.integers(0, 12, rng.integers(1, 9))} | ({"hot"} if i % 3 else set()) for i in range(40)}
     df = spark.createDataFrame([(k, i) for k, s in sets.items() for i in s] * 2 + [(None, "i1"), ("k1", None)], "k string, i string")
     for least in (1, 3):
         wanted = sorted((a, b, len(sets[a] & sets[b])) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= least)
         assert got(similarity.common_counts(df, "k", "i", least).select("a", "b", "n_common")) == wanted
+        for t in (0.07, 0.4):
+            near = [(a, b, n) for a, b, n in wanted if n / len(sets[a] | sets[b]) >= t]
+            assert got(similarity.common_counts(df, "k", "i", least, t).select("a", "b", "n_common")) == near
 
 
-def test_pearson_and_slope(spark):
+@pytest.mark.parametrize("direct", [True, False])
+def test_pearson_and_slope(spark, monkeypatch, direct):
+    monkeypatch.setattr(similarity, "_cheap", lambda held: direct)
     flat = spark.createDataFrame([(u, b, float(s)) for u, b, s in [("x", 1, 1), ("x", 2, 1), ("x", 3, 1), ("y", 1, 2), ("y", 2, 3), ("y", 3, 4)]], "u string, b int, s double")
     assert similarity.pearson_pairs(flat, "u", "b", "s").count() == 0
     rows = [("u1", 1, 1.0), ("u1", 2, 2.0), ("u1", 3, 4.0), ("u2", 1, 2.0), ("u2", 2, 5.0), ("u2", 3, 4.0)]
@@ -78,6 +85,12 @@ def test_lsh_is_part_of_exact(spark):
     lsh, exact = (set(got(f(df, "k", "v", 0.2).select("a", "b"))) for f in (similarity.lsh_jaccard, similarity.jaccard_pairs))
     bands = set(got(similarity.lsh_pairs(similarity.minhash_signatures(df, "k", "v"), "k", 35)))
     assert lsh == exact & bands and lsh
+    # the same where every bucket is hot and is split by prefix items
+    for hot in (1, 3):
+        assert lsh == set(got(similarity.lsh_jaccard(df, "k", "v", 0.2, hot=hot).select("a", "b")))
+    two = set(got(similarity.lsh_jaccard(df, "k", "v", 0.5, rows=2).select("a", "b")))
+    strict = set(got(similarity.jaccard_pairs(df, "k", "v", 0.5).select("a", "b")))
+    assert two == strict & set(got(similarity.lsh_pairs(similarity.minhash_signatures(df, "k", "v"), "k", 35, 2))) and two
 
 
 def test_profiles(spark):
@@ -175,6 +188,8 @@ def test_sketches(spark):
     hits = sketches.bloom_probe(others, "v", bits, n)
     assert hits.count() == 302 and hits.where("hit = 1").count() < 60 and hits.where("(v is null or v = '') and hit = 1").count() == 0
     assert sketches.reservoir(spark.range(1000), "id", 100).distinct().count() == 100
+    far = spark.createDataFrame([(10**10 + i,) for i in range(50)] + [(None,), (-5,)], "id bigint")
+    assert sketches.reservoir(far, "id", 100).count() == 51
     counts = spark.createDataFrame([(t,) for t, k in zip("abcde", (17, 9, 5, 1, 9)) for _ in range(k)], "t string")
     assert got(sketches.top_count_ranks(counts, "t")) == [("a", 17), ("b", 9), ("c", 5), ("e", 9)]
 
@@ -188,8 +203,6 @@ def test_blend_boosts_a_hundred_rounds(spark, monkeypatch):
             trees.append((model.getNumTrees, model.getMaxDepth()))
             return model
 
-    far = spark.createDataFrame([(10**10 + i,) for i in range(50)] + [(None,), (-5,)], "id bigint")
-    assert sketches.reservoir(far, "id", 100).count() == 51
     monkeypatch.setattr(recommend, "GBTRegressor", Watched)
     ratings = spark.createDataFrame([(f"u{i % 5}", f"b{i % 7}", float(i % 5 + 1)) for i in range(35)], "user_id string, business_id string, stars double")
     features = recommend.rating_features(ratings).drop("stars").limit(3)
