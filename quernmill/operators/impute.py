@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernmill.operators.names import fresh
@@ -20,75 +20,86 @@ def usable(column: str, low: float, high: float) -> Column:
     return F.coalesce(~F.isnan(c) & (c >= low) & (c <= high), F.lit(False))
 
 
-def _uniform(key: str, *salt: object) -> Column:
-    return (F.xxhash64(F.col(key), *[F.lit(str(s)) for s in salt]).bitwiseAND((1 << 53) - 1) + 0.5) / float(1 << 53)
-
-
-def _normal(key: str, *salt: object) -> Column:
-    return F.sqrt(-2.0 * F.log(_uniform(key, *salt, "r"))) * F.cos(2 * math.pi * _uniform(key, *salt, "a"))
-
-
-def _regress(df: DataFrame, target: str, others: list[str], groups: list[str], known: Column, bounds: tuple[float, float], salt: tuple) -> DataFrame:
-    """Fills `target` where not known: least squares on the other fields and on group means, plus a residual draw."""
-    means = df.where(known).agg(F.avg(target)).head()[0]
-    if means is None:
-        return df.withColumn(target, F.coalesce(F.when(known, F.col(target)), F.lit(sum(bounds) / 2)))
-    work, inputs = df, list(others)
-    for g in groups:
-        per = df.where(known & F.col(g).isNotNull()).groupBy(g).agg(F.sum(target).alias("__s"), F.count("*").alias("__k"))
-        work = work.join(per, g, "left").withColumns({"__s": F.coalesce("__s", F.lit(0.0)), "__k": F.coalesce("__k", F.lit(0))})
-        # a row's own value is not held against it
-        own = F.when(known & F.col(g).isNotNull(), 1).otherwise(0)
-        work = work.withColumn(f"__m_{g}", (F.col("__s") - own * F.col(target) + _SHRINK * means) / (F.col("__k") - own + _SHRINK)).drop("__s", "__k")
-        inputs.append(f"__m_{g}")
-    x = [F.lit(1.0), *[F.col(c).cast("double") for c in inputs]]
-    n = len(x)
-    moments = [F.sum(x[i] * x[j]) for i in range(n) for j in range(i, n)] + [F.sum(x[i] * F.col(target)) for i in range(n)] + [F.sum(F.col(target) * F.col(target)), F.count("*")]
-    got = [float(v) for v in work.where(known).agg(*[m.alias(f"m{i}") for i, m in enumerate(moments)]).head()]
-    gram, at = np.zeros((n, n)), 0
-    for i in range(n):
-        for j in range(i, n):
-            gram[i, j] = gram[j, i] = got[at]
-            at += 1
-    cross, square, rows = np.array(got[at : at + n]), got[at + n], got[at + n + 1]
-    scale = np.sqrt(np.maximum(np.diag(gram), 1e-12))
-    beta = np.linalg.lstsq(gram / np.outer(scale, scale) + 1e-9 * np.eye(n), cross / scale, rcond=None)[0] / scale
-    sigma = math.sqrt(max(0.0, (square - 2 * beta @ cross + beta @ gram @ beta) / max(rows - n, 1)))
-    guess = sum((float(b) * c for b, c in zip(beta, x, strict=True)), F.lit(0.0)) + sigma * _normal("__key", *salt)
-    return work.withColumn(target, F.when(known, F.col(target)).otherwise(F.greatest(F.least(guess, F.lit(float(bounds[1]))), F.lit(float(bounds[0]))))).drop(*[f"__m_{g}" for g in groups])
-
-
-def _classify(df: DataFrame, target: str, numbers: list[str], groups: list[str], known: Column, salt: tuple, bins: int = 5) -> DataFrame:
-    """Fills `target` where not known by a draw from a naive Bayes classifier over binned numbers and the other groups."""
-    edges = {c: sorted(set(e)) for c, e in zip(numbers, df.approxQuantile(numbers, [k / bins for k in range(1, bins)], 0.01) if numbers else [], strict=True)}
-    binned = [F.concat(F.lit(f"{c}:"), sum((F.when(F.col(c) > e, 1).otherwise(0) for e in edges[c]), F.lit(0)).cast("string")) for c in numbers]
-    binned += [F.concat(F.lit(f"{g}="), F.coalesce(F.col(g).cast("string"), F.lit(""))) for g in groups]
-    work = df.withColumn("__bins", F.array(*binned) if binned else F.array().cast("array<string>"))
-    classes = work.where(known).groupBy(F.col(target).alias("__c")).agg(F.count("*").alias("__n"))
-    total = work.where(known).count()
-    if not total:
-        return df
-    ratio = work.where(known).select(F.col(target).alias("__c"), F.explode("__bins").alias("__b")).groupBy("__c", "__b").agg(F.count("*").alias("__nb"))
-    whole = work.where(known).select(F.explode("__bins").alias("__b")).groupBy("__b").agg(F.count("*").alias("__all"))
-    # log of P(bin | class) / P(bin), smoothed by one row of the overall rate; a class without the bin gets the smoothing alone
-    ratio = ratio.join(whole, "__b").join(classes, "__c")
-    lift = F.log((F.col("__nb") + F.col("__all") / total) / ((F.col("__n") + 1) * F.col("__all") / total))
-    ratio = ratio.select("__b", "__c", (lift + F.log(F.col("__n") + F.lit(1.0))).alias("__w"))
-    combos = work.where(~known).select("__bins").distinct()
-    votes = combos.select("__bins", F.explode("__bins").alias("__b")).join(ratio, "__b").groupBy("__bins", "__c").agg(F.sum("__w").alias("__w"))
-    prior = classes.select("__c", ((1 - len(binned)) * F.log(F.col("__n") + F.lit(1.0)) + F.log(F.col("__n") / (F.col("__n") + F.lit(1.0)))).alias("__p"))
-    by = Window.partitionBy("__bins")
-    chance = votes.join(prior, "__c").withColumn("__w", F.col("__w") + F.col("__p"))
-    chance = chance.withColumn("__w", F.exp(F.col("__w") - F.max("__w").over(by)))
-    ladder = chance.withColumn("__cum", F.sum("__w").over(by.orderBy("__c").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("__w").over(by)).groupBy("__bins").agg(F.sort_array(F.collect_list(F.struct("__cum", "__c"))).alias("__ladder"))
-    mode = classes.orderBy(F.desc("__n"), "__c").limit(1).head()[0]
-    draw = _uniform("__key", *salt)
-    picked = F.element_at(F.filter("__ladder", lambda s: s["__cum"] >= draw), 1)["__c"]
-    filled = work.join(ladder, "__bins", "left").withColumn(target, F.when(known, F.col(target)).otherwise(F.coalesce(F.when(F.size(F.filter("__ladder", lambda s: s["__cum"] >= draw)) > 0, picked), F.lit(mode))))
-    return filled.drop("__bins", "__ladder")
-
-
-def chained_impute(df: DataFrame, key: str, *, numeric: dict[str, tuple[float, float]], categorical: list[str] = (), predictors: list[str] = (), rounds: int = 3, seed: int = 5) -> DataFrame:
+def _uniform(*salt: object) -> str:
+    texts = ", ".join(f"'{x}'" for x in salt)
+    return f"((xxhash64(__key, {texts}) & {(1 << 53) - 1}) + 0.5D) / {1 << 53}"
+
+
+def _normal(*salt: object) -> str:
+    return f"sqrt(-2 * ln({_uniform(*salt, 'r')})) * cos({2 * math.pi!r}D * {_uniform(*salt, 'a')})"
+
+
+class _Fit:
+    """Least-squares fits of all numbers that lack values, from one aggregate: on the other numbers and on the means of each class.
+
+    Expressions are SQL text on names of our own: one analysis for each step, however many moments there are.
+    """
+
+    def __init__(self, work: DataFrame, targets: list[str], numbers: list[str], classes: list[str], means: dict[str, float]):
+        self.targets, self.work = targets, work
+        self.inputs = {y: ["1D", *[c for c in numbers if c != y], *[f"m_{g}_{y}" for g in classes]] for y in targets}
+        for g in classes if targets else ():
+            stats = [F.expr(f"sum(CASE WHEN NOT {y}_filled THEN {y} END) AS s_{y}") for y in targets] + [F.expr(f"count_if(NOT {y}_filled) AS k_{y}") for y in targets]
+            # a row's own value is not held against it
+            own = {y: f"CAST(NOT {y}_filled AND {g} IS NOT NULL AS INT)" for y in targets}
+            like = [f"(coalesce(s_{y}, 0D) - {own[y]} * {y} + {_SHRINK * means[y]!r}D) / (coalesce(k_{y}, 0) - {own[y]} + {_SHRINK}D) AS m_{g}_{y}" for y in targets]
+            self.work = self.work.join(work.groupBy(g).agg(*stats).where(f"{g} IS NOT NULL"), g, "left").selectExpr(*self.work.columns, *like)
+        self.weights = self._solve() if targets else {}
+
+    def _solve(self) -> dict[str, tuple[np.ndarray, float]]:
+        moments, out, at = [], {}, 0
+        for y in self.targets:
+            x = [*self.inputs[y], y]
+            moments += [f"sum(CASE WHEN NOT {y}_filled THEN CAST({x[i]} * {x[j]} AS DOUBLE) END)" for i in range(len(x)) for j in range(i, len(x))]
+        got = [float(v) for v in self.work.selectExpr(*[f"{m} AS v{i}" for i, m in enumerate(moments)]).head()]
+        for y in self.targets:
+            n = len(self.inputs[y]) + 1
+            full = np.zeros((n, n))
+            for i in range(n):
+                for j in range(i, n):
+                    full[i, j] = full[j, i] = got[at]
+                    at += 1
+            gram, cross, square, rows = full[:-1, :-1], full[:-1, -1], full[-1, -1], full[0, 0]
+            scale = np.sqrt(np.maximum(np.diag(gram), 1e-12))
+            beta = np.linalg.lstsq(gram / np.outer(scale, scale) + 1e-9 * np.eye(n - 1), cross / scale, rcond=None)[0] / scale
+            out[y] = beta, math.sqrt(max(0.0, (square - 2 * beta @ cross + beta @ gram @ beta) / max(rows - n + 1, 1)))
+        return out
+
+    def expected(self, y: str) -> str:
+        return "(" + " + ".join(f"{float(b)!r}D * {x}" for b, x in zip(self.weights[y][0], self.inputs[y], strict=True)) + ")"
+
+    def drawn(self, y: str, bounds: tuple[float, float], salt: tuple) -> str:
+        guess = f"{self.expected(y)} + {self.weights[y][1]!r}D * {_normal(*salt)}"
+        return f"CASE WHEN {y}_filled THEN greatest(least({guess}, {float(bounds[1])!r}D), {float(bounds[0])!r}D) ELSE {y} END"
+
+
+def _bins(edges: dict[str, list[float]], groups: list[str]) -> str:
+    """An array: the place of each number between its edges, each class, and `all`, which every row has."""
+    binned = ["concat('" + c + ":', " + " + ".join(["0", *[f"CAST({c} > {e!r}D AS INT)" for e in steps]]) + ")" for c, steps in edges.items()]
+    return "array(" + ", ".join([*binned, *[f"concat('{g}=', coalesce({g}, ''))" for g in groups], "'all'"]) + ")"
+
+
+def _ladders(work: DataFrame, target: str, bins: str, n_bins: int, total: int) -> DataFrame:
+    """bins_<target>, ladder_<target>: for each combination of bins in a row that lacks `target`, the classes with their cumulated chances by naive Bayes.
+
+    The counts of each class with each bin are one aggregate over the rows that have a class;
+    the bin `all` holds the sizes. Each count is smoothed by one row of the bin's overall
+    rate, so a bin that a class has never been seen with changes nothing but for its size.
+    """
+    held = work.where(f"NOT {target}_filled").selectExpr(f"{target} AS c", f"explode({bins}) AS b").groupBy("c", "b").agg(F.count("*").alias("n"))
+    combos = work.where(f"{target}_filled").selectExpr(f"{bins} AS bins").distinct()
+    text = f"""
+WITH held AS (SELECT * FROM {{held}}), combos AS (SELECT * FROM {{combos}}),
+whole AS (SELECT b, sum(n) / {float(total)!r}D AS rate FROM held GROUP BY b),
+weights AS (SELECT b, c, CASE WHEN b = 'all' THEN ln(n) - {n_bins} * ln(n + 1) ELSE ln(n + rate) - ln(rate) END AS w FROM held JOIN whole USING (b)),
+votes AS (SELECT bins, c, sum(w) AS w FROM (SELECT bins, explode(bins) AS b FROM combos) JOIN weights USING (b) GROUP BY bins, c),
+chance AS (SELECT bins, c, exp(w - max(w) OVER (PARTITION BY bins)) AS p FROM votes),
+steps AS (SELECT bins, c, sum(p) OVER (PARTITION BY bins ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(p) OVER (PARTITION BY bins) AS at FROM chance)
+SELECT bins AS bins_{target}, sort_array(collect_list(struct(at, c))) AS ladder_{target} FROM steps GROUP BY bins"""
+    return work.sparkSession.sql(text, held=held, combos=combos)
+
+
+def chained_impute(df: DataFrame, key: str, *, numeric: dict[str, tuple[float, float]], categorical: list[str] = (), predictors: list[str] = (), rounds: int = 3, seed: int = 5, expected: bool = False) -> DataFrame:
     """df with every numeric and categorical field complete, and `<field>_filled` marks.
 
     numeric: field -> (low, high); null, NaN, infinite and outside values are missing.
@@ -96,12 +107,14 @@ def chained_impute(df: DataFrame, key: str, *, numeric: dict[str, tuple[float, f
     columns, used where they are numbers and at their mean elsewhere, and kept as they are.
 
     Missing values start at the mean or the most frequent class. In each of `rounds` rounds
-    every field that lacks values is fitted on the rows that have it from all others: a
-    number by least squares on the other numbers and on the means of its groups (normal
-    equations summed over the rows in one aggregate of fixed size), a class by naive Bayes
-    over binned numbers and the other classes. A missing value is a draw: prediction plus a
+    every field that lacks values is fitted on the rows that have it from all others, as the
+    last round left them: a number by least squares on the other numbers and on the means of
+    its classes (normal equations of all numbers in one aggregate of fixed size), a class by
+    naive Bayes over numbers binned at their first quintiles and the other classes. All fields
+    are then filled in one projection, written once a round. A missing value is a draw: prediction plus a
     normal residual of the fit's spread, clamped to the range, or a class by its probability.
     Draws hang on the hash of key, field and seed, so they are the same in any partitioning.
+    With `expected` a column `<field>_expected` holds the last round's prediction of each number, before its draw.
 
     Given values never change. Rows with a null key are filled as well (with one draw for all
     of them); repeated keys are rows of their own. A field without any value is filled with
@@ -123,24 +136,33 @@ def chained_impute(df: DataFrame, key: str, *, numeric: dict[str, tuple[float, f
         columns += [(~ok).alias(f"{fields[c]}_filled"), F.when(ok, F.col(f"`{c}`")).alias(fields[c])]
     columns += [F.when(usable(c, -1e300, 1e300), F.col(f"`{c}`").cast("double")).alias(p) for c, p in zip(predictors, extra, strict=True)]
     work = cut(df.select(*columns))
-    first = work.agg(*[F.avg(c).alias(c) for c in (*numbers, *extra)], *[F.count_if(f"{c}_filled").alias(f"{c}_filled") for c in (*numbers, *classes)], *[F.mode(c).alias(c) for c in classes]).head()
+    first = work.agg(*[F.avg(c).alias(c) for c in (*numbers, *extra)], *[F.count_if(f"{c}_filled").alias(f"{c}_filled") for c in (*numbers, *classes)], *[F.mode(c).alias(c) for c in classes], F.count("*").alias("rows")).head()
     middle = {c: sum(b) / 2 for c, b in bounds.items()}
     starts = {c: first[c] if first[c] is not None else middle.get(c, 0.0) for c in (*numbers, *extra)} | {c: first[c] for c in classes if first[c] is not None}
     work = work.fillna(starts) if starts else work
-    lacking = [c for c in (*classes, *numbers) if first[f"{c}_filled"]]
-    for _ in range(rounds):
-        for c in lacking:
-            known = ~F.col(f"{c}_filled")
-            others = [x for x in (*numbers, *extra) if x != c]
-            if c in bounds:
-                work = _regress(work, c, others, classes, known, bounds[c], (seed, c))
-            elif first[c] is not None:
-                work = _classify(work, c, others, [g for g in classes if g != c], known, (seed, c))
-            # each fit reads the fields several times; from a written table that is a scan, not the plan so far
-            work = cut(work)
+    lacking = [c for c in numbers if first[f"{c}_filled"] and first[c] is not None]
+    # a number without any value stays at the middle, a class without any null
+    drawn = [c for c in classes if first[f"{c}_filled"] and first[c] is not None]
+    inputs = [*numbers, *extra]
+    known = {c: first["rows"] - first[f"{c}_filled"] for c in classes}
+    edges = {c: sorted(set(e)) for c, e in zip(inputs, work.approxQuantile(inputs, [0.2, 0.4, 0.6, 0.8], 0.01), strict=True)} if drawn and inputs else {}
+    for k in range(rounds if lacking or drawn else 0):
+        fit = _Fit(work, lacking, inputs, classes, first)
+        step, filled = fit.work, {c: fit.drawn(c, bounds[c], (seed, c)) for c in lacking}
+        for c in drawn:
+            groups = [g for g in classes if g != c]
+            bins = _bins(edges, groups)
+            ladder = _ladders(work, c, bins, len(edges) + len(groups), known[c])
+            step = step.join(ladder, F.expr(f"CASE WHEN {c}_filled THEN {bins} END") == F.col(f"bins_{c}"), "left").withColumn(f"start_{c}", F.lit(first[c]))
+            filled[c] = f"CASE WHEN {c}_filled THEN coalesce(get(filter(ladder_{c}, x -> x.at >= {_uniform(seed, c)}), 0).c, start_{c}) ELSE {c} END"
+        shown = [f"{fit.expected(c)} AS {c}_expected" for c in lacking] if expected and k == rounds - 1 else []
+        work = cut(step.selectExpr(*[f"{filled[c]} AS {c}" if c in filled else c for c in work.columns], *shown))
     place = {c: i for i, c in enumerate(rest)}
     out, taken = [F.col(fields[c]).alias(c) if c in fields else F.col(f"rest.r{place[c]}").alias(c) for c in given], list(given)
     for c in (*numeric, *categorical):
         taken.append(fresh(f"{c}_filled", taken))
         out.append(F.col(f"{fields[c]}_filled").alias(taken[-1]))
+    for c in numeric if expected else ():
+        taken.append(fresh(f"{c}_expected", taken))
+        out.append((F.col(f"{fields[c]}_expected") if fields[c] in lacking else F.lit(None).cast("double")).alias(taken[-1]))
     return work.select(*out)

@@ -23,6 +23,9 @@ def test_the_rest(spark):
     found = problems.p1_found(spark, FOLDER)
     assert found.columns == ["business_id", "pos", "category"] and found.count() > 0
     filled = problems.p5_filled(spark, FOLDER)
+    for r in problems.p5_quality(spark, FOLDER.replace("0.001", "0.1")).collect():
+        assert r["error_fit"] < r["error_mean"] and r["correlation"] > 0 and r["n_hidden"] > 100
+        assert abs(r["spread_drawn"] - r["spread_true"]) < 0.05 * r["spread_true"]
     assert filled.where("avg_stars is null or isnan(avg_stars) or avg_stars not between 1 and 5").count() == 0
     assert reference.hybrid_blend(spark, FOLDER).where("stars is null").count() == 0
 
