@@ -101,7 +101,7 @@ def farthest_first(pts: DataFrame, k: int) -> np.ndarray:
 
 
 def kmeans(pts: DataFrame, k: int, *, most_rounds: int = 100, shift: float = 1e-6) -> tuple[DataFrame, dict[int, np.ndarray]]:
-    """(id, features, cluster), centres: Lloyd's rounds from farthest-first centres until none moves by `shift`."""
+    """(id, features, cluster), centres: Lloyd's rounds from farthest-first centres until none moves by `shift`, or after `most_rounds`, as the method has it."""
     pts = cut(pts.select("id", "features"))
     centres = dict(enumerate(farthest_first(pts, k)))
     if not centres:
@@ -143,14 +143,14 @@ def held_summaries(assigned: DataFrame, dims: int) -> dict[int, Summary]:
 
 
 def merge_compression(cs: dict[int, Summary], limit: float) -> dict[int, int]:
-    """x -> y: x goes into its nearest larger y of a higher index within the limit; one absorbed by each y, no chains."""
+    """x -> y: x goes into the nearest larger y of a higher index, if that is within the limit and has absorbed none yet; no second choice, no chains."""
     into: dict[int, int] = {}
     for x in sorted(cs):
         if x in into.values():
             continue
-        options = [(cs[y].distance(cs[x]), y) for y in sorted(cs) if y > x and cs[y].n > cs[x].n and y not in into and y not in into.values()]
-        if options and min(options)[0] < limit:
-            into[x] = min(options)[1]
+        distance, y = min(((cs[y].distance(cs[x]), y) for y in cs if y > x and cs[y].n > cs[x].n), default=(limit, x))
+        if distance < limit and y not in into.values():
+            into[x] = y
     return into
 
 

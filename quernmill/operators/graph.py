@@ -71,8 +71,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return vertices.join(roots, F.col("id") == F.col("u"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _credit(root: str, adjacency: dict[str, list[str]]) -> dict[tuple[str, str], float]:
-    """Edge credits of one breadth-first search: shortest paths counted down, flow shared by them on the way up."""
+def _credit(root, adjacency) -> dict[tuple, float]:
+    """Edge credits of one breadth-first search (adjacency: vertex -> neighbours): shortest paths counted down, flow shared by them on the way up."""
     depth, paths, order, parents = {root: 0}, {root: 1.0}, [], {root: []}
     queue = deque([root])
     while queue:
@@ -94,36 +94,38 @@ def _credit(root: str, adjacency: dict[str, list[str]]) -> dict[tuple[str, str],
     return credit
 
 
-def edge_betweenness(edges: DataFrame, largest_component: int = 200_000) -> DataFrame:
+def edge_betweenness(edges: DataFrame, largest_component: int = 200_000, visits: int = 2_000_000) -> DataFrame:
     """src < dst, betweenness: shortest paths through each edge, each pair of vertices counted once.
 
     Searches from all vertices run in parallel, each in its component, whose adjacency is kept
     by each task that has a root of it; components beyond `largest_component` edges are refused.
+    The roots of a component are cut into slices of about `visits` edge visits, and slices of all
+    components are spread over as many partitions as there is work for.
     """
     both = undirected(edges)
     parts = cut(both.join(connected_components(edges), F.col("src") == F.col("id")).select("component", "src", "dst"))
-    sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
-    worst = sizes.agg(F.max("n")).head()[0] or 0
-    if worst > 2 * largest_component:
+    near = parts.groupBy("component", "src").agg(F.collect_list("dst").alias("near"))
+    graph = cut(near.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.size("near")).alias("links"), F.sort_array(F.collect_list(F.struct("src", "near"))).alias("graph")))
+    slices = F.least(F.ceil(F.col("n") * F.col("links") / visits), F.col("n")).cast("int")
+    worst, wanted = graph.agg(F.max("links"), F.sum(slices)).head()
+    if (worst or 0) > 2 * largest_component:
         raise ValueError(f"a component of {worst // 2} edges; edge_betweenness takes {largest_component}")
-    graph = parts.groupBy("component").agg(F.collect_list(F.struct("src", "dst")).alias("links"))
-    slices = F.explode(F.sequence(F.lit(0), F.least(F.lit(63), F.size("links") / 64).cast("int")))
-    work = graph.withColumn("slice", slices).withColumn("slices", F.least(F.lit(63), F.size("links") / 64).cast("int") + 1)
+    work = graph.select("component", "graph", slices.alias("slices"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
     schema = "src string, dst string, part double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                adjacency: dict[str, list[str]] = {}
-                for link in row["links"]:
-                    adjacency.setdefault(link["src"], []).append(link["dst"])
-                total: dict[tuple[str, str], float] = {}
-                for root in sorted(adjacency)[row["slice"] :: row["slices"]]:
+                names = [v["src"] for v in row["graph"]]
+                place = {name: i for i, name in enumerate(names)}
+                adjacency = [[place[w] for w in v["near"]] for v in row["graph"]]
+                total: dict[tuple[int, int], float] = {}
+                for root in range(row["slice"], len(names), row["slices"]):
                     for edge, part in _credit(root, adjacency).items():
                         total[edge] = total.get(edge, 0.0) + part
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in total], pa.string()), pa.array([e[1] for e in total], pa.string()), pa.array(total.values(), pa.float64())], ["src", "dst", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[e[0]] for e in total], pa.string()), pa.array([names[e[1]] for e in total], pa.string()), pa.array(total.values(), pa.float64())], ["src", "dst", "part"])
 
-    spread = work.select("links", "slice", "slices").repartition("slice")
+    spread = work.repartition(max(1, min(wanted or 0, 4096)), "component", "slice").select("graph", "slice", "slices")
     return spread.mapInArrow(run, schema).groupBy("src", "dst").agg(F.round(F.sum("part") / 2, 6).alias("betweenness"))
 
 

@@ -81,17 +81,25 @@ def _local_sets(rows: list[list[str]], least: float) -> list[tuple[str, ...]]:
     return out
 
 
-def son_itemsets(pairs: DataFrame, support: int) -> DataFrame:
-    """The same sets in two passes: candidates that are frequent in some partition at its share of the support, then an exact recount."""
+def son_itemsets(pairs: DataFrame, support: int, *, least_local: int = 5, most_baskets: int = 1_000_000) -> DataFrame:
+    """The same sets in two passes: candidates that are frequent in some partition at its share of the support, then an exact recount.
+
+    Baskets are spread over so many partitions that each one's share of the support is at least
+    `least_local`; with less, every subset of a basket would be a candidate. A support that would
+    need more than `most_baskets` baskets in a partition, which are held there, is refused.
+    """
     grouped = cut(pairs.groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("items")))
     total = grouped.count()
+    parts = max(1, min(support // least_local, math.ceil(total / 10_000)))
+    if total / parts > most_baskets:
+        raise ValueError(f"support {support} of {total} baskets needs {total // parts} baskets in a partition; son_itemsets takes {most_baskets}")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in batch.column(0).to_pylist()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([list(s) for s in _local_sets(rows, max(1.0, support * len(rows) / total))], pa.list_(pa.string()))], ["items"])
+            yield pa.RecordBatch.from_arrays([pa.array([list(s) for s in _local_sets(rows, support * len(rows) / total)], pa.list_(pa.string()))], ["items"])
 
-    candidates = cut(grouped.select("items").mapInArrow(local, "items array<string>").distinct()).withColumn("k", F.size("items"))
+    candidates = cut(grouped.select("items").repartition(parts).mapInArrow(local, "items array<string>").distinct()).withColumn("k", F.size("items"))
     # a basket meets the candidates through their first item only
     keyed = candidates.withColumn("first", F.col("items")[0]).withColumnRenamed("items", "wanted")
     met = grouped.select("basket", "items", F.explode("items").alias("first")).join(keyed, "first").where(F.size(F.array_except("wanted", "items")) == 0)

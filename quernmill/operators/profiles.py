@@ -23,12 +23,22 @@ def tfidf_top(docs: DataFrame, doc: str, text: str, stop_words: DataFrame | None
     counts = cut(counts)
     total, documents = counts.agg(F.sum("c"), F.count_distinct("doc")).head()
     per_word = counts.groupBy("word").agg(F.sum("c").alias("n"), F.count("*").alias("df")).where(F.col("n") >= rare_share * (total or 0))
-    of_doc = Window.partitionBy("doc")
-    scored = counts.join(per_word.select("word", "df"), "word").withColumn("score", F.round(F.col("c") / F.max("c").over(of_doc) * F.log2(F.lit(float(documents or 1)) / F.col("df")), 9))
-    rank = F.row_number().over(of_doc.orderBy(F.desc("score"), "word"))
+    largest = counts.groupBy("doc").agg(F.max("c").alias("most"))
+    scored = counts.join(per_word.select("word", "df"), "word").join(largest, "doc").withColumn("score", F.round(F.col("c") / F.col("most") * F.log2(F.lit(float(documents or 1)) / F.col("df")), 9))
+    # the only window: its limit is applied before the shuffle as well, so no document's words gather in one task
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("score"), "word"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("doc", "word", "score")
 
 
+def joined_texts(docs: DataFrame, doc: str, text: str, order: str, compat: bool = False) -> DataFrame:
+    """doc, text: the texts of each key in the order of `order`, joined by blanks (compat: by nothing, so words at the joints fuse).
+
+    A key's text is one value, so it must fit a task; `tfidf_top` works on the rows instead. Null keys and texts take no part.
+    """
+    rows = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.col(order).alias("at"))
+    return rows.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "" if compat else " ").alias("text"))
+
+
 def user_profiles(profile: DataFrame, seen: DataFrame, user: str, doc: str) -> DataFrame:
     """user, word: the words of the profiles of all documents a user has; distinct rows."""
     return seen.select(F.col(user).alias("user"), F.col(doc).alias("doc")).where(F.col("user").isNotNull() & F.col("doc").isNotNull()).distinct().join(profile.select("doc", "word"), "doc").select("user", "word").distinct()

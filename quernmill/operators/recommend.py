@@ -84,9 +84,20 @@ def test_features(test: DataFrame, user_data: DataFrame, biz_data: DataFrame) ->
 
 
 def blended_predictions(ratings: DataFrame, fallback: DataFrame, features: DataFrame, *, weight: float = 0.2, seed: int = 7) -> DataFrame:
-    """user_id, business_id, stars: weight * neighbourhood + (1 - weight) * 100 boosted trees over the four features."""
+    """user_id, business_id, stars: weight * neighbourhood + (1 - weight) * 100 boosted trees over the four features, blended by `blend`."""
     names = ["user_review_count", "user_avg_stars", "biz_review_count", "biz_avg_stars"]
     vector = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip")
     model = GBTRegressor(labelCol="stars", maxIter=100, maxDepth=6, seed=seed).fit(vector.transform(rating_features(ratings)))
     tree = model.transform(vector.transform(features)).select("user_id", "business_id", "prediction")
-    return tree.join(fallback, ["user_id", "business_id"], "left").select("user_id", "business_id", F.round(F.coalesce(weight * F.col("stars") + (1 - weight) * F.col("prediction"), "prediction"), 4).alias("stars"))
+    return blend(fallback, tree, weight).select("user_id", "business_id", F.round("stars", 4).alias("stars"))
+
+
+def blend(fallback: DataFrame, tree: DataFrame, weight: float = 0.2) -> DataFrame:
+    """user_id, business_id, stars for each row of `tree` (.., prediction): weight * neighbourhood stars + (1 - weight) * prediction.
+
+    A right join on the pair. Pairs that `fallback` repeats count once, with their mean, so they
+    don't multiply the rows; a pair it lacks has the tree's prediction alone.
+    """
+    near = fallback.groupBy("user_id", "business_id").agg(F.avg("stars").alias("near"))
+    mixed = F.coalesce(weight * F.col("near") + (1 - weight) * F.col("prediction"), "prediction")
+    return near.join(tree, ["user_id", "business_id"], "right").select("user_id", "business_id", mixed.alias("stars"))

@@ -11,7 +11,7 @@ from quernmill.session import cut
 from quernmill.sources.tables import distinct_reviews, ratings, table, valid_stars
 from quernmill.streaming.windows import window_distinct
 
-SUPPORT_SHARE, SON_SHARE = 0.004, 0.02
+SUPPORT_SHARE = 0.004
 COMMON_USERS, GRAPH_COMMON = 3, 6
 POINT_ROUNDS = 5
 
@@ -85,12 +85,12 @@ def freq_itemsets(spark: SparkSession, folder: str) -> DataFrame:
 
 def son_itemsets(spark: SparkSession, folder: str) -> DataFrame:
     pairs = cut(itemsets.basket_items(table(spark, folder, "review"), "user_id", "business_id"))
-    return _sets(itemsets.son_itemsets(pairs, _support(pairs, SON_SHARE)))
+    return _sets(itemsets.son_itemsets(pairs, _support(pairs, SUPPORT_SHARE)))
 
 
 def fpgrowth_itemsets(spark: SparkSession, folder: str) -> DataFrame:
     pairs = cut(itemsets.basket_items(table(spark, folder, "review"), "user_id", "business_id"))
-    return _sets(itemsets.fpgrowth_itemsets(pairs, _support(pairs, SON_SHARE)))
+    return _sets(itemsets.fpgrowth_itemsets(pairs, _support(pairs, SUPPORT_SHARE)))
 
 
 def minhash_signatures(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,6 +107,11 @@ def lsh_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.lsh_jaccard(_pairs(spark, folder), "business_id", "user_id", 0.05).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+def lsh_bands_of_two(spark: SparkSession, folder: str) -> DataFrame:
+    """Bands of two hashes, for pairs that are alike: a similarity of 0.4 or more."""
+    return similarity.lsh_jaccard(_pairs(spark, folder), "business_id", "user_id", 0.4, rows=2).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 def user_lsh_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.lsh_jaccard(_pairs(spark, folder), "user_id", "business_id", 0.01, COMMON_USERS).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
@@ -120,18 +125,22 @@ def tfidf_top(spark: SparkSession, folder: str) -> DataFrame:
     return profiles.tfidf_top(docs, "business_id", "text", table(spark, folder, "stop_words"), top=200)
 
 
-def _profiles(spark, folder) -> tuple[DataFrame, DataFrame]:
-    top = cut(tfidf_top(spark, folder))
-    return top, profiles.user_profiles(top, _pairs(spark, folder), "user_id", "business_id")
+def document_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The joined texts of each business, as their length and hash."""
+    docs = profiles.joined_texts(distinct_reviews(table(spark, folder, "review"), "business_id", "text"), "business_id", "text", "review_id")
+    return docs.select("doc", F.length("text").cast("bigint").alias("length"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
 def user_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return _profiles(spark, folder)[1].groupBy("user").agg(F.count("*").alias("n_words"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
+    return profiles.user_profiles(tfidf_top(spark, folder), _pairs(spark, folder), "user_id", "business_id").groupBy("user").agg(F.count("*").alias("n_words"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
 
 
 def profile_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    top, users = _profiles(spark, folder)
-    return profiles.profile_cosine(cut(users), top, table(spark, folder, "test_pairs"), "user_id", "business_id")
+    """Only the profiles of users to be compared are built."""
+    top, wanted = cut(tfidf_top(spark, folder)), table(spark, folder, "test_pairs")
+    seen = _pairs(spark, folder).join(wanted.select("user_id").distinct(), "user_id", "left_semi")
+    users = cut(profiles.user_profiles(top, seen, "user_id", "business_id"))
+    return profiles.profile_cosine(users, top, wanted, "user_id", "business_id")
 
 
 def item_pearson(spark: SparkSession, folder: str) -> DataFrame:
@@ -247,6 +256,16 @@ def bfr_assignment(spark: SparkSession, folder: str) -> DataFrame:
     return _bfr(spark, folder)[0]
 
 
+def bfr_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """round, n_points: the points that the counters of each round account for."""
+    return bfr_rounds(spark, folder).select("round", (F.col("discard_points") + F.col("compression_points") + F.col("retained_points")).alias("n_points"))
+
+
+def partition_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Partitions and items of the report."""
+    return partition_report(spark, folder).agg(F.count("*").alias("n_partitions"), F.sum("n_items").alias("n_items"))
+
+
 def bfr_rounds(spark: SparkSession, folder: str) -> DataFrame:
     rows = [tuple(r.values()) for r in _bfr(spark, folder)[1]]
     return spark.createDataFrame(rows, "round bigint, discard_clusters bigint, discard_points bigint, compression_clusters bigint, compression_points bigint, retained_points bigint")
@@ -303,6 +322,13 @@ def _pearson(key: str, by: str, name: str = "model", slope: bool = False) -> str
 {name} AS (SELECT a, b, round(v, 6) AS sim FROM (SELECT a, b, {value} FROM moments WHERE {guard}) WHERE round(v, 6) > 1e-9)"""
 
 
+_BETWEENNESS = """reach AS (SELECT DISTINCT src AS root, src AS id, 0 AS d FROM both_ways
+  UNION SELECT r.root, e.dst, r.d + 1 FROM reach r JOIN both_ways e ON e.src = r.id WHERE r.d < (SELECT count(DISTINCT src) FROM both_ways)),
+dist AS (SELECT root, id, min(d) AS d FROM reach GROUP BY 1, 2),
+ways AS (SELECT root, id, d, 1::DOUBLE AS n FROM dist WHERE d = 0
+  UNION ALL SELECT w.root, e.dst, w.d + 1, sum(w.n) FROM ways w JOIN both_ways e ON e.src = w.id JOIN dist t ON t.root = w.root AND t.id = e.dst AND t.d = w.d + 1 GROUP BY 1, 2, 3),
+credit AS (SELECT e.src, e.dst, sum(s.n * t.n / st.n) AS c FROM both_ways e JOIN ways s ON s.id = e.src JOIN ways t ON t.id = e.dst
+  JOIN ways st ON st.root = s.root AND st.id = t.root AND st.d = s.d + 1 + t.d GROUP BY 1, 2)"""
 _BOTH = "both_ways AS (SELECT a AS x, b AS y, sim FROM model UNION ALL SELECT b, a, sim FROM model), wanted AS (SELECT DISTINCT user_id, business_id FROM test_pairs WHERE user_id IS NOT NULL AND business_id IS NOT NULL)"
 _ITEM_CF = """near AS (SELECT w.user_id, w.business_id, r.stars, m.sim, row_number() OVER (PARTITION BY w.user_id, w.business_id ORDER BY m.sim DESC, m.y) AS k
   FROM wanted w JOIN rated r ON r.user_id = w.user_id JOIN both_ways m ON m.x = w.business_id AND m.y = r.business_id),
@@ -377,8 +403,8 @@ SELECT word, count(*) AS n FROM words WHERE word <> '' AND word NOT IN (SELECT w
     "baskets_filtered": f"WITH {_PAIRS} SELECT user_id AS basket, count(*) AS n_items, string_agg(business_id, ',' ORDER BY business_id) AS items FROM pairs GROUP BY 1 HAVING count(*) > 10",
     "business_baskets": f"WITH {_PAIRS} SELECT business_id AS basket, count(*) AS n_items, min(user_id) AS first_item, max(user_id) AS last_item FROM pairs GROUP BY 1",
     "freq_itemsets": _sets_sql(SUPPORT_SHARE),
-    "son_itemsets": _sets_sql(SON_SHARE),
-    "fpgrowth_itemsets": _sets_sql(SON_SHARE),
+    "son_itemsets": _sets_sql(SUPPORT_SHARE),
+    "fpgrowth_itemsets": _sets_sql(SUPPORT_SHARE),
     "minhash_signatures": f"WITH {_SIGNATURES} SELECT * FROM signatures",
     "lsh_candidates": f"WITH {_SIGNATURES}, {_BANDS}, {_MET}) SELECT a, b FROM met",
     "lsh_jaccard": f"""
@@ -430,6 +456,9 @@ FROM wanted LEFT JOIN u USING (user_id) LEFT JOIN b USING (business_id)""",
     "components": f"""
 WITH RECURSIVE {_EDGES}, reach AS (SELECT DISTINCT src AS id, src AS root FROM both_ways UNION SELECT e.dst, r.root FROM reach r JOIN both_ways e ON e.src = r.id)
 SELECT id, min(root) AS component FROM reach GROUP BY 1""",
+    "edge_betweenness": f"""
+WITH RECURSIVE {_EDGES}, {_BETWEENNESS}
+SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round(sum(c) / 2, 6) AS betweenness FROM credit GROUP BY 1, 2""",
     "modularity": f"""
 WITH {_EDGES}, {_LPA}, e AS (SELECT a.label AS ls, b.label AS ld FROM edges JOIN l5 a ON a.id = src JOIN l5 b ON b.id = dst),
 d AS (SELECT label, count(*) AS degree FROM (SELECT ls AS label FROM e UNION ALL SELECT ld FROM e) GROUP BY 1)
@@ -444,6 +473,15 @@ SELECT c AS cluster, count(*) AS n, round(sum(embedding[1]::DOUBLE), 4) AS sum_0
 WITH {_VEC}, held AS (SELECT cluster AS c, dim, avg(x) AS m, sqrt(greatest(0, avg(x * x) - avg(x) * avg(x))) AS s FROM vec GROUP BY 1, 2),
 d AS (SELECT id, c, sqrt(sum(((x - m) / CASE WHEN s > 0 THEN s ELSE 1 END) ** 2)) AS d FROM vec JOIN held USING (dim) GROUP BY 1, 2)
 SELECT id, c::BIGINT AS cluster, round(d, 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, c) AS k FROM d) WHERE k = 1""",
+    "bfr_totals": """
+SELECT r + 1 AS round, (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 5 <= r) AS n_points FROM range(5) t(r)""",
+    "partition_totals": "SELECT 16::BIGINT AS n_partitions, count(*) AS n_items FROM review",
+    "document_texts": f"""
+WITH {_REVIEWS}, joined AS (SELECT business_id AS doc, string_agg(text, ' ' ORDER BY review_id) AS text FROM reviews WHERE business_id IS NOT NULL AND text IS NOT NULL GROUP BY 1)
+SELECT doc, length(text) AS length, md5(text) AS digest FROM joined""",
+    "lsh_bands_of_two": f"""
+WITH {_SIGNATURES}, bands AS (SELECT business_id, unnest(range(17)) AS band, unnest([{', '.join(f'[h{k}, h{k + 1}]' for k in range(1, 35, 2))}]) AS h FROM signatures), {_MET}), {_common("business_id", "user_id", 1)}
+SELECT a, b, round(n_common / (x.n + y.n - n_common), 6) AS similarity FROM common JOIN met USING (a, b) JOIN sizes x ON x.k = a JOIN sizes y ON y.k = b WHERE n_common / (x.n + y.n - n_common) >= 0.4""",
     "bloom_bits": f"WITH {_BLOOM} SELECT position FROM bits",
     "bloom_probe": f"""
 WITH {_BLOOM}, probes AS (SELECT city AS value FROM business UNION SELECT home_state FROM user_data UNION SELECT n_name FROM nation)
@@ -463,10 +501,10 @@ SELECT event_type, n FROM (SELECT *, dense_rank() OVER (ORDER BY n DESC) AS k FR
 
 _NAMES = [
     "category_avg_topn", "review_stats", "top_users", "top_words", "business_over_n", "partition_report", "state_pairs", "baskets_filtered", "business_baskets",
-    "freq_itemsets", "son_itemsets", "fpgrowth_itemsets", "minhash_signatures", "lsh_candidates", "lsh_jaccard", "user_lsh_jaccard", "jaccard_exact",
-    "tfidf_top", "user_profile", "profile_cosine", "item_pearson", "user_pearson", "user_slope", "item_cf_predict", "user_cf_predict",
+    "freq_itemsets", "son_itemsets", "fpgrowth_itemsets", "minhash_signatures", "lsh_candidates", "lsh_jaccard", "lsh_bands_of_two", "user_lsh_jaccard", "jaccard_exact",
+    "document_texts", "tfidf_top", "user_profile", "profile_cosine", "item_pearson", "user_pearson", "user_slope", "item_cf_predict", "user_cf_predict",
     "hybrid_features", "hybrid_cf_fallback", "hybrid_test_fill", "hybrid_blend", "co_review_edges", "lpa_communities", "community_list", "components",
-    "edge_betweenness", "modularity", "girvan_newman", "kmeans_step", "cluster_summary", "mahalanobis_assign", "bfr_assignment", "bfr_rounds",
+    "edge_betweenness", "modularity", "girvan_newman", "kmeans_step", "cluster_summary", "mahalanobis_assign", "bfr_assignment", "bfr_rounds", "bfr_totals", "partition_totals",
     "bloom_bits", "bloom_probe", "fm_estimate_window", "reservoir_topk_tags",
 ]
 QUERIES = {name: globals()[name] for name in _NAMES}

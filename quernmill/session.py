@@ -47,6 +47,12 @@ def _remove(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system Spark can write to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back.
 

@@ -43,5 +43,11 @@ def read_item_model(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ITEM_MODEL).json(path).select(F.col("b1").alias("a"), F.col("b2").alias("b"), "sim")
 
 
+def read_profile_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, word), (user, word) of a written profile model."""
+    maps = [spark.read.schema("key string, word string").json(f"{path}/{part}") for part in ("documents", "users")]
+    return maps[0].withColumnRenamed("key", "doc"), maps[1].withColumnRenamed("key", "user")
+
+
 def read_user_model(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(USER_MODEL).json(path).select(F.col("u1").alias("a"), F.col("u2").alias("b"), "sim")

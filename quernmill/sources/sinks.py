@@ -57,6 +57,31 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.coalesce(1).write.mode("overwrite").text(path)
 
 
+WINDOW_HEADER = "Time,Gound Truth,Estimation"  # fixed value, spelt as the report has it
+
+
+def window_lines(windows: DataFrame) -> DataFrame:
+    """value lines end of window, truth, estimate, by time."""
+    return windows.orderBy("window_end").select(F.concat_ws(",", F.date_format("window_end", "yyyy-MM-dd HH:mm:ss"), F.col("truth").cast("string"), F.col("estimate").cast("string")).alias("value"))
+
+
+def append_window_csv(path: str):
+    """An action for `streaming.windows.per_window`: writes each batch's windows as CSV with a header, in a folder an epoch, so a repeated batch replaces itself."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        head = batch.sparkSession.createDataFrame([(0, WINDOW_HEADER)], "at int, value string")
+        lines = window_lines(batch).select(F.lit(1).alias("at"), "value")
+        write_lines(head.unionByName(lines).orderBy("at", "value").select("value"), f"{path}/{epoch:08}")
+
+    return write
+
+
+def write_profile_model(profile: DataFrame, users: DataFrame, path: str) -> None:
+    """The two maps of a term profile, documents and users to words, as JSON lines key, word."""
+    write_json_lines(profile.select(F.col("doc").alias("key"), "word"), f"{path}/documents")
+    write_json_lines(users.select(F.col("user").alias("key"), "word"), f"{path}/users")
+
+
 def append_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Starts a query that appends each finished window or event as JSON lines."""
     return stream.writeStream.outputMode(mode).format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -38,7 +38,8 @@ def distinct_reviews(review: DataFrame, *columns: str) -> DataFrame:
     """
     kept = [c for c in columns if c != "review_id"]
     rows = review.select("review_id", *kept).where(F.col("review_id").isNotNull())
-    if "text" not in kept:
+    # few partitions hold little, and the shuffle spreads them over the cores
+    if "text" not in kept or rows.rdd.getNumPartitions() < review.sparkSession.sparkContext.defaultParallelism:
         return rows.dropDuplicates(["review_id"])
     repeated = cut(rows.groupBy("review_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select(F.xxhash64("review_id").alias("h")))
     wanted = repeated.count()

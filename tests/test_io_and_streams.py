@@ -54,3 +54,75 @@ def test_reservoir_on_a_stream(spark, tmp_path):
     assert kept[-1] == sorted(r[0] for r in reservoir(spark.range(500), "id", 20).collect())
     tags = windows.tracked(spark.createDataFrame([("a CAT",), ("dog",), (None,)], "text string"), "text", ["cat"])
     assert [r[0] for r in tags.collect()] == ["a CAT"]
+
+
+def test_models_and_lines(spark, tmp_path):
+    (tmp_path / "lines").write_text("a b\n\nc\n")
+    assert [r["value"] for r in readers.read_lines(spark, str(tmp_path / "lines")).collect()] == ["a b", "", "c"]
+    model = spark.createDataFrame([("u", "v", 0.25)], "a string, b string, sim double")
+    sinks.write_json_lines(model, str(tmp_path / "users"), {"a": "u1", "b": "u2"})
+    assert list(map(tuple, readers.read_user_model(spark, str(tmp_path / "users")).collect())) == [("u", "v", 0.25)]
+    sinks.write_csv(model, str(tmp_path / "csv"))
+    assert list(map(tuple, readers.read_csv(spark, str(tmp_path / "csv"), "a string, b string, sim double").collect())) == [("u", "v", 0.25)]
+    profile = spark.createDataFrame([("d1", "pear"), ("d1", "plum"), ("d2", "fig")], "doc string, word string")
+    users = spark.createDataFrame([("u", "pear"), ("u", "plum")], "user string, word string")
+    sinks.write_profile_model(profile, users, str(tmp_path / "profile"))
+    docs, read = readers.read_profile_model(spark, str(tmp_path / "profile"))
+    wanted = spark.createDataFrame([("u", "d1"), ("u", "d2")], "user string, doc string")
+    from quernmill.operators import profiles
+
+    assert list(map(tuple, profiles.profile_cosine(read, docs, wanted, "user", "doc").collect())) == [("u", "d1", 1.0)]
+
+
+def test_windows_are_appended_by_batch(spark, tmp_path):
+    batch = spark.sql("SELECT timestamp_seconds(id * 7) AS ts, concat('v', id % 9) AS v FROM range(60)")
+    batch.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = windows.window_distinct(windows.parquet_stream(spark, str(tmp_path / "in"), batch.schema), "ts", "v", late="1 hour")
+    windows.per_window(stream, sinks.append_window_csv(str(tmp_path / "out")), str(tmp_path / "state"), "update").awaitTermination()
+    lines = [x for p in sorted((tmp_path / "out").rglob("part-*")) for x in p.read_text().splitlines()]
+    wanted = [r["value"] for r in sinks.window_lines(windows.window_distinct(batch, "ts", "v")).collect()]
+    assert lines[0] == "Time,Gound Truth,Estimation" and [x for x in lines if x != lines[0]] == wanted
+
+
+def test_json_stream_to_json_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"id": 1}\n{"id": 2}\n')
+    stream = windows.json_stream(spark, str(tmp_path / "in"), "id bigint").where("id > 1")
+    sinks.append_batches(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert [r["id"] for r in spark.read.schema("id bigint").json(str(tmp_path / "out")).collect()] == [2]
+
+
+def test_socket_and_failures(spark, tmp_path):
+    import socket
+    import threading
+    import time
+
+    server = socket.create_server(("localhost", 0))
+
+    def serve():
+        link, _ = server.accept()
+        link.sendall(b"boom\n")
+        time.sleep(20)
+        link.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    log = windows.FailureLog()
+    spark.streams.addListener(log)
+    seen = []
+
+    def fail(df, epoch):
+        seen.extend(r["value"] for r in df.collect())
+        if seen:
+            raise ValueError("disconnected")
+
+    query = windows.socket_lines(spark, server.getsockname()[1]).writeStream.foreachBatch(fail).start()
+    try:
+        query.awaitTermination(60)
+    except Exception as error:
+        assert "disconnected" in str(error)
+    for _ in range(50):
+        if log.errors:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(log)
+    assert seen == ["boom"] and len(log.errors) == 1 and "disconnected" in log.errors[0]

@@ -103,6 +103,39 @@ def test_profiles(spark):
     assert got(profiles.profile_cosine(users, top, wanted, "user", "d")) == [("u", "d2", 0.5)]
 
 
+def test_joined_texts(spark):
+    docs = spark.createDataFrame([("d", "b", 2), ("d", "a", 1), ("d", None, 3), (None, "x", 1), ("e", "", 1)], "doc string, text string, at int")
+    assert got(profiles.joined_texts(docs, "doc", "text", "at")) == [("d", "a b"), ("e", "")]
+    assert got(profiles.joined_texts(docs, "doc", "text", "at", compat=True)) == [("d", "ab"), ("e", "")]
+
+
+def test_blend_keeps_the_trees_rows(spark):
+    near = spark.createDataFrame([("u", "a", 5.0), ("u", "a", 5.0), ("x", "y", 1.0)], "user_id string, business_id string, stars double")
+    tree = spark.createDataFrame([("u", "a", 2.5), ("v", "a", 3.0)], "user_id string, business_id string, prediction double")
+    assert got(recommend.blend(near, tree)) == [("u", "a", 3.0), ("v", "a", 3.0)]
+
+
+def test_merge_takes_the_nearest_only():
+    at = lambda n, x: clustering.Summary(n, np.array([n * x]), np.array([n * (x * x + 1.0)]))
+    # 0 and 1 are nearest to 3; 3 absorbs one, and 1 takes no second choice though 2 is within the limit
+    assert clustering.merge_compression({0: at(2, 0.0), 1: at(2, 0.2), 2: at(5, 2.0), 3: at(5, 0.5)}, 4.0) == {0: 3}
+
+
+def test_small_components_are_spread(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(400)], "src string, dst string")
+    places = []
+    spread = type(edges).repartition
+
+    def watched(self, *columns):
+        out = spread(self, *columns)
+        if "slice" in columns:
+            places.append(len({r[0] for r in out.select(F.spark_partition_id()).collect()}))
+        return out
+
+    monkeypatch.setattr(type(edges), "repartition", watched)
+    assert graph.edge_betweenness(edges).where("betweenness = 1").count() == 400 and places[0] > 100
+
+
 def test_predictions(spark):
     rated = spark.createDataFrame([("u", "a", 4.0), ("u", "b", 2.0), ("v", "a", 5.0), ("v", "b", 3.0), ("v", "c", 4.0)], "user_id string, business_id string, stars double")
     model = spark.createDataFrame([("a", "c", 0.5), ("b", "c", 0.25)], "a string, b string, sim double")
