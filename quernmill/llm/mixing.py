@@ -69,7 +69,7 @@ def normal_source(column: str = "source"):
     return F.when(c != "", c)
 
 
-def mix_sources(records: DataFrame, targets: DataFrame, *, key: str = "doc_id", buckets: int = 1024, fan_in: int = 32, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix_sources(records: DataFrame, targets: DataFrame, *, key: str = "doc_id", bucket_size: int = 20_000, fan_in: int = 32, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """Copies of each record and a report by source, as (copies, report).
 
     records: `key` (unique), source, tokens; targets: source, target_weight, max_repeats.
@@ -81,8 +81,8 @@ def mix_sources(records: DataFrame, targets: DataFrame, *, key: str = "doc_id",
     positive weight. A source is wanted w * T / t times, at most max_repeats times; it is
     capped where t * max_repeats < w * T (so a source without records is). Each record gets
     the whole part of that as copies; the fraction is rounded to 0 or 1 by weighted pivotal
-    steps that keep the source's tokens. They run in `buckets` buckets a source; what each
-    leaves open meets in a reduction tree of `fan_in`, and one draw a source settles the rest,
+    steps that keep the source's tokens. They run in buckets of about `bucket_size` records, as many as
+    a source needs; what each leaves open meets in a reduction tree of `fan_in`, and one draw a source settles the rest,
     so a source is off its target by less than one record. The same seed gives the same copies.
 
     copies: key, source, tokens, copies. report: source, weight, max_repeats, tokens,
@@ -93,7 +93,7 @@ def mix_sources(records: DataFrame, targets: DataFrame, *, key: str = "doc_id",
     wanted = targets.select(normal_source().alias("source"), weight.alias("weight"), F.greatest("max_repeats", F.lit(0)).alias("max_repeats"), F.col("max_repeats").isNull().alias("free")).where(F.col("source").isNotNull())
     wanted = wanted.groupBy("source").agg(F.sum("weight").alias("weight"), F.when(F.every("free"), F.lit(None)).otherwise(F.min("max_repeats")).alias("max_repeats")).where(F.col("weight") > 0)
     own = records.select(F.col(f"`{key}`"), normal_source().alias("source"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")).where(F.col("source").isNotNull())
-    per_source = wanted.join(own.groupBy("source").agg(F.sum("tokens").alias("t")), "source", "left").withColumn("t", F.coalesce("t", F.lit(0)))
+    per_source = wanted.join(own.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("k")), "source", "left").withColumns({"t": F.coalesce("t", F.lit(0)), "k": F.coalesce("k", F.lit(0))})
     # one row a row of targets, and no more: a setting, not data
     rows = [r.asDict() for r in per_source.collect()]
     spark = records.sparkSession
@@ -104,15 +104,16 @@ def mix_sources(records: DataFrame, targets: DataFrame, *, key: str = "doc_id",
         most = r["max_repeats"]
         rate = 0.0 if not r["t"] else target / r["t"]
         capped = most is not None and r["t"] * most < target
-        plan.append((r["source"], r["weight"], most, r["t"], target, capped, float(min(rate, most) if most is not None else rate)))
-    plan = spark.createDataFrame(plan, "source string, weight double, max_repeats int, tokens bigint, target_tokens double, capped boolean, rate double")
-    rated = own.join(F.broadcast(plan.select("source", "rate")), "source")
+        plan.append((r["source"], r["weight"], most, r["t"], target, capped, float(min(rate, most) if most is not None else rate), -(-r["k"] // bucket_size) or 1))
+    widths = plan
+    plan = spark.createDataFrame(plan, "source string, weight double, max_repeats int, tokens bigint, target_tokens double, capped boolean, rate double, width bigint")
+    rated = own.join(F.broadcast(plan.select("source", "rate", "width")), "source")
     whole = F.floor(F.col("rate") + 1e-9)
-    rated = cut(rated.select(F.col(f"`{key}`").alias("__key"), "source", "tokens", whole.alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p")))
+    rated = cut(rated.select(F.col(f"`{key}`").alias("__key"), "source", "tokens", "width", whole.alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p")))
     uniform = lambda *c: F.xxhash64(*c, F.lit(seed)).bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
     some = (F.col("p") > 1e-9) & (F.col("tokens") > 0) & F.col("__key").isNotNull()
-    units = rated.where(some).select("source", F.pmod(F.xxhash64("__key", F.lit(seed + 1)), F.lit(buckets)).alias("bucket"), F.col("__key").cast("string").alias("id"), "p", F.col("tokens").cast("double").alias("size"), uniform("__key").alias("draw"), F.lit(False).alias("settled"))
-    done, width = None, buckets
+    units = rated.where(some).select("source", F.pmod(F.xxhash64("__key", F.lit(seed + 1)), F.col("width")).alias("bucket"), F.col("__key").cast("string").alias("id"), "p", F.col("tokens").cast("double").alias("size"), uniform("__key").alias("draw"), F.lit(False).alias("settled"))
+    done, width = None, max((p[7] for p in widths), default=1)
     while True:
         last = width == 1
         stage = cut(units.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "id").mapInArrow(lambda b, last=last: _pivot(b, last), _UNITS))
@@ -125,7 +126,7 @@ def mix_sources(records: DataFrame, targets: DataFrame, *, key: str = "doc_id",
     done = done.distinct().withColumn("one", F.lit(1))
     copies = cut(rated.join(done, F.col("__key").cast("string") == F.col("id"), "left").select(F.col("__key").alias(key), "source", "tokens", (F.col("whole") + F.coalesce("one", F.lit(0))).cast("bigint").alias("copies")))
     mixed = copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"))
-    report = plan.drop("rate").join(F.broadcast(mixed), "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)).cast("bigint"))
+    report = plan.drop("rate", "width").join(F.broadcast(mixed), "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)).cast("bigint"))
     total = copies.agg(F.sum(F.col("tokens") * F.col("copies"))).head()[0] or 0
     report = report.withColumns({"target_share": F.col("weight") / F.lit(float(all_weight or 1)), "actual_share": F.col("mixed_tokens") / F.lit(float(total or 1))})
     return copies, report

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernmill.operators.codes import dense_codes
@@ -79,7 +79,7 @@ def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _as_batch(np.array([last[0]]), np.array([last[1]]))
 
 
-def co_occurrences(records: DataFrame, record: str, item: str, *, min_together: int = 1, min_lift: float = 0.0, largest_basket: int = 2_000) -> DataFrame:
+def co_occurrences(records: DataFrame, record: str, item: str, *, min_together: int = 1, min_lift: float = 0.0, largest_basket: int = 2_000, most_pairs: int = 10_000_000_000) -> DataFrame:
     """Pairs of items of the same records: item_a < item_b, n_both, n_a, n_b, n_records, lift, log_odds.
 
     n_a, n_b and n_both count distinct records; n_records all records with an item. lift is
@@ -92,9 +92,12 @@ def co_occurrences(records: DataFrame, record: str, item: str, *, min_together:
 
     Two bounds drop items without losing a pair: n_both <= n_a gives n_a >= min_together, and
     lift >= min_lift gives n_a <= n_records / min_lift. Records of more than `largest_basket`
-    items never emit all their pairs: they count through intersections of per-item lists of
-    such records, for pairs met in other records or, by prefix filtering, sharing at least
-    min_together large records (the min_together - 1 largest records of an item make no pairs).
+    items make pairs by prefix filtering only: of each item the min_together - 1 largest such
+    records make none, and items of fewer than min_together of them make none at all. The
+    pairs so met, and those met in other records, are counted by looking up the large records
+    of the rarer item under the other, by (item, record); no list of records is gathered. With
+    min_together = 1 every pair of a large record is a result: more than `most_pairs` of them are refused.
+    More than 2 ** 32 items are refused as well, as two codes are packed into 64 bits.
 
     Null records and items take no part, repeated rows count once, an empty table gives no
     rows, other columns are not read.
@@ -103,6 +106,8 @@ def co_occurrences(records: DataFrame, record: str, item: str, *, min_together:
     n_records = rows.select("rec").distinct().count()
     per_item = rows.groupBy("item").agg(F.count("*").alias("n")).where((F.col("n") >= min_together) & (F.col("n") * F.lit(float(min_lift)) <= n_records))
     items = cut(dense_codes(per_item))
+    if items.count() > 1 << 32:
+        raise ValueError("more than 2 ** 32 items; co_occurrences packs two codes into 64 bits")
     kept = cut(rows.join(items.select("item", "code"), "item").select("rec", "code"))
     degree = kept.groupBy("rec").agg(F.count("*").alias("degree")).where(F.col("degree") > 1)
     large = cut(degree.where(F.col("degree") > largest_basket))
@@ -111,8 +116,11 @@ def co_occurrences(records: DataFrame, record: str, item: str, *, min_together:
     baskets = small.groupBy("rec").agg(F.sort_array(F.collect_list("code")).alias("codes")).where(F.size("codes") > 1).select("codes")
     met = baskets.mapInArrow(_pair_runs, _CODES).repartition("code").sortWithinPartitions("code").mapInArrow(_merge_runs, _CODES)
     if any_large:
+        pairs = large.agg(F.sum(F.col("degree").cast("double") * (F.col("degree") - 1) / 2)).head()[0]
+        if min_together == 1 and pairs > most_pairs:
+            raise ValueError(f"large records have {pairs:.0f} pairs, each a result at min_together=1; co_occurrences takes {most_pairs}")
         met = _with_large(met, kept.join(large, "rec"), min_together)
-    met = met.where(F.col("n") >= min_together).select(F.shiftright("code", 32).alias("ca"), F.col("code").bitwiseAND(_LOW).alias("cb"), F.col("n").alias("n_both"))
+    met = met.where(F.col("n") >= min_together).select(*_unpacked(), F.col("n").alias("n_both"))
     side = lambda x: items.select(F.col("code").alias(f"c{x}"), F.col("item").alias(f"i{x}"), F.col("n").alias(f"n{x}"))
     joined = met.join(side("a"), "ca").where(F.col("n_both") * F.lit(float(n_records)) >= F.lit(float(min_lift)) * F.col("na")).join(side("b"), "cb")
     lift = F.col("n_both") * F.lit(float(n_records)) / (F.col("na").cast("double") * F.col("nb"))
@@ -134,17 +142,27 @@ def co_occurrences(records: DataFrame, record: str, item: str, *, min_together:
     )
 
 
+def _unpacked() -> list[Column]:
+    """ca, cb of a packed code; the first code fills the sign bit from 2 ** 31 on."""
+    return [F.shiftrightunsigned("code", 32).alias("ca"), F.col("code").bitwiseAND(_LOW).alias("cb")]
+
+
 def _with_large(met: DataFrame, rows: DataFrame, min_together: int) -> DataFrame:
     """Adds to the pair counts of small records those of the large ones (rows: rec, degree, code)."""
-    met = cut(met)
-    per_item = cut(rows.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("degree", "rec"))).alias("held")))
-    lists = per_item.select("code", F.transform("held", lambda x: x["rec"]).alias("recs"))
+    met, rows = cut(met), cut(rows)
+    held = cut(rows.groupBy("code").agg(F.count("*").alias("n_large")))
     # the first common record, by degree, of two items that share min_together lies before the last min_together - 1 of either
-    prefix = per_item.where(F.size("held") >= min_together).select("code", F.explode(F.expr(f"slice(held, 1, size(held) - {min_together - 1})")).alias("x")).select("code", F.col("x.rec").alias("rec"))
-    a, b = prefix.select("rec", F.col("code").alias("ca")), prefix.select("rec", F.col("code").alias("cb"))
+    often = rows.join(held.where(F.col("n_large") >= min_together), "code")
+    last = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("degree"), F.desc("rec")))
+    kept_out = often.withColumn("r", last).where(F.col("r") < min_together).select("code", "rec")
+    prefix = often.select("code", "rec").join(kept_out, ["code", "rec"], "left_anti")
+    a, b = (prefix.select("rec", F.col("code").alias(f"c{x}")) for x in "ab")
     alone = a.join(b, "rec").where(F.col("ca") < F.col("cb")).select(F.shiftleft("ca", 32).bitwiseOR(F.col("cb")).alias("code")).distinct().join(met, "code", "left_anti").withColumn("n", F.lit(0).cast("bigint"))
-    pairs = met.unionByName(alone).withColumns({"ca": F.shiftright("code", 32), "cb": F.col("code").bitwiseAND(_LOW)})
-    la, lb = lists.select(F.col("code").alias("ca"), F.col("recs").alias("ra")), lists.select(F.col("code").alias("cb"), F.col("recs").alias("rb"))
-    shared = F.coalesce(F.size(F.array_intersect("ra", "rb")), F.lit(0))
-    extra = F.when(F.col("ra").isNull() | F.col("rb").isNull(), 0).otherwise(shared)
-    return pairs.join(la, "ca", "left").join(lb, "cb", "left").select("code", (F.col("n") + extra).alias("n"))
+    pairs = cut(met.unionByName(alone))
+    na, nb = (held.select(F.col("code").alias(f"c{x}"), F.col("n_large").alias(f"n_{x}")) for x in "ab")
+    sized = pairs.select("code", *_unpacked()).join(na, "ca").join(nb, "cb")
+    rarer = F.col("n_a") <= F.col("n_b")
+    lookup = sized.select("code", F.when(rarer, F.col("ca")).otherwise(F.col("cb")).alias("small"), F.when(rarer, F.col("cb")).otherwise(F.col("ca")).alias("large"))
+    lo, hi = (rows.select("rec", F.col("code").alias(x)) for x in ("small", "large"))
+    shared = lookup.join(lo, "small").join(hi, ["large", "rec"]).groupBy("code").agg(F.count("*").alias("n"))
+    return pairs.unionByName(shared).groupBy("code").agg(F.sum("n").alias("n"))

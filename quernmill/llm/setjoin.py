@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernmill.operators.codes import dense_codes
+from quernmill.operators.similarity import common_counts
 from quernmill.session import cut
 
 _ONE = 1 << 53  # hashes are uniform in [0, _ONE)
@@ -100,7 +101,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
     yield flush()
 
 
-def similar_sets(records: DataFrame, key: str, value: str, *, threshold: float, min_size: int = 1, recall: float = 0.9999, depth: int = 3, leaf: int = 256, largest_set: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def similar_sets(records: DataFrame, key: str, value: str, *, threshold: float, min_size: int = 1, recall: float = 0.9999, depth: int = 3, leaf: int = 256, largest_set: int = 4_096) -> tuple[DataFrame, DataFrame]:
     """Pairs of keys whose value sets have Jaccard similarity >= threshold, as (pairs, members).
 
     pairs: ca, cb (class codes, ca <> cb), n_both, n_a, n_b between classes; members: key,
@@ -117,8 +118,8 @@ def similar_sets(records: DataFrame, key: str, value: str, *, threshold: float,
     is found with probability `recall` or more.
 
     Exact bounds drop records without a partner of fitting size and values of one record.
-    Sets larger than `largest_set` are never gathered in a row: pairs with such a set count
-    by a join over the few sets of comparable size.
+    Sets larger than `largest_set` are never gathered in a row nor sent to nodes: pairs with such a
+    set are counted exactly, by prefix join, over the few sets of comparable size.
 
     Null keys and values take no part, repeated rows count once, an empty table gives no
     rows, other columns are not read.
@@ -135,7 +136,6 @@ def similar_sets(records: DataFrame, key: str, value: str, *, threshold: float,
     kept = rows.join(keys, "key")
     trees = trees_for(recall, depth)
     tokens = dense_codes(kept.groupBy("value").agg(F.count("*").alias("df")).where(F.col("df") > 1).select("value"), "tok")
-    tokens = tokens.select("value", F.col("tok").cast("int").alias("tok"))
     held = cut(kept.join(tokens, "value").select("code", "n", "tok"))
 
     # classes of equal sets: all values shared, and two 64-bit sums of hashes equal
@@ -183,9 +183,12 @@ def similar_sets(records: DataFrame, key: str, value: str, *, threshold: float,
         pairs = pairs.unionByName(met.join(ends[0], "ca").join(ends[1], "cb").select("ca", "cb", F.size(F.array_intersect("tokens_a", "tokens_b")).cast("bigint").alias("n_both"), "n_a", "n_b"))
     pairs = pairs.dropDuplicates(["ca", "cb"])
     if giants:
+        # values of one record were dropped before, so sizes are those of the whole sets
         big = lone.where(F.col("n") >= largest_set * threshold)
-        a, b = (big.select("tok", F.col("code").alias(f"c{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-        counted = a.join(b, "tok").where((F.col("ca") < F.col("cb")) & (F.greatest("n_a", "n_b") > largest_set)).groupBy("ca", "cb", "n_a", "n_b").agg(F.count("*").alias("n_both"))
+        size = big.select("code", "n").distinct()
+        sa, sb = (size.select(F.col("code").alias(f"c{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+        least = max(1, math.ceil(largest_set * threshold))
+        counted = common_counts(big, "code", "tok", least).select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("n_common").alias("n_both")).join(sa, "ca").join(sb, "cb").where(F.greatest("n_a", "n_b") > largest_set)
         pairs = pairs.unionByName(counted.where(F.col("n_both") / (F.col("n_a") + F.col("n_b") - F.col("n_both")) >= threshold).select("ca", "cb", "n_both", "n_a", "n_b"))
     return pairs, members
 

@@ -92,7 +92,10 @@ def typical_terms(records: DataFrame, group: str, text: str = "text", *, min_rec
     table, and adjusted = residual / sqrt((1 - row share) * (1 - column share)), which has
     unit variance under independence. Margins count (record, term) incidences.
 
-    Only rows with n_both >= min_records and n_both >= min_share * n_term are made. As
+    Only rows with n_both >= min_records and n_both >= min_share * n_term are made. The second
+    is a threshold on the residual: with q the group's share of all incidences, a term of which
+    the group has the share s has residual (s - q) * sqrt(n_term / q), so rows are chosen by
+    theirs, and the exact counts settle what rounding leaves open. As
     n_both <= n_group, a term with n_term > n_group / min_share can't qualify; that drops
     common terms before the shuffle. What is broadcast for it is bounded: at most
     `hot_groups` groups, and the terms that occur in more records than the largest other
@@ -113,11 +116,16 @@ def typical_terms(records: DataFrame, group: str, text: str = "text", *, min_rec
         hot = per_group.where(F.col("__g").isNotNull() & (F.col("n_group") > large)).select("__g", F.col("n_group").alias("__n"))
         pairs = pairs.join(F.broadcast(common), "term", "left").join(F.broadcast(hot), "__g", "left").where(F.col("n_term").isNull() | (F.col("n_term") * min_share <= F.coalesce("__n", F.lit(large)))).select("__g", "term")
     both = pairs.groupBy("__g", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_records)
-    scored = both.join(per_term, "term").where(F.col("n_both") >= F.col("n_term") * min_share).join(per_group, "__g")
+    scored = both.join(per_term, "term").join(per_group, "__g")
     expected = F.col("row_total") * F.col("n_term") / F.lit(total)
     variance = (1 - F.col("row_total") / F.lit(total)) * (1 - F.col("n_term") / F.lit(total))
+    scored = scored.withColumn("residual", (F.col("n_both") - expected) / F.sqrt(expected))
+    if min_share > 0:
+        q = F.col("row_total") / F.lit(total)
+        least = (F.lit(min_share) - q) * F.sqrt(F.col("n_term") / q)
+        scored = scored.where(F.col("residual") >= least - 1e-6 * (1 + F.abs(least))).where(F.col("n_both") >= F.col("n_term") * min_share)
     return (
-        scored.withColumn("residual", (F.col("n_both") - expected) / F.sqrt(expected))
+        scored
         .withColumn("adjusted", F.when(variance > 0, F.col("residual") / F.sqrt(variance)))
         .select(F.col("__g").alias(group), "term", "n_both", "n_group", "n_term", "residual", "adjusted")
     )

@@ -42,6 +42,33 @@ def test_co_occurrences(spark, largest):
         assert r["log_odds"] == pytest.approx(np.log((ab + 0.5) * (n - na - nb + ab + 0.5) / ((na - ab + 0.5) * (nb - ab + 0.5))))
 
 
+def test_codes_beyond_31_bits(spark):
+    """The first of two packed codes fills the sign bit from 2 ** 31 on."""
+    import pyarrow as pa
+
+    from quernmill.llm import pairs
+
+    codes = [5, 1 << 31, (1 << 32) - 1]
+    batch = pa.RecordBatch.from_arrays([pa.array([codes, codes], pa.list_(pa.int64()))], ["codes"])
+    runs = [(c, n) for b in pairs._pair_runs(iter([batch])) for c, n in zip(*(x.to_pylist() for x in b.columns))]
+    got = spark.createDataFrame(runs, "code bigint, n bigint").select(*pairs._unpacked(), "n").collect()
+    assert sorted(map(tuple, got)) == [(a, b, 2) for a, b in itertools.combinations(codes, 2)]
+
+
+def test_large_records(spark):
+    """Records beyond largest_basket alone and with small ones, at every least count; one of 100,000 items."""
+    baskets = {f"b{i}": {f"i{j}" for j in range(i, i + (30 if i % 2 else 4))} for i in range(12)}
+    items = sorted(set().union(*baskets.values()))
+    for least in (1, 2):
+        wanted = {(a, b, n) for a, b in itertools.combinations(items, 2) if (n := sum(a in s and b in s for s in baskets.values())) >= least}
+        got = co_occurrences(sets_to_frame(spark, baskets), "key", "value", min_together=least, largest_basket=10)
+        assert {(r["item_a"], r["item_b"], r["n_both"]) for r in got.collect()} == wanted
+    huge = spark.range(100_000).selectExpr("'huge' AS key", "concat('i', id) AS value").union(spark.createDataFrame([("small", "i1"), ("small", "i2"), ("huge2", "i1"), ("huge2", "i2")], "key string, value string"))
+    assert [(r["item_a"], r["item_b"], r["n_both"]) for r in co_occurrences(huge, "key", "value", min_together=2).collect()] == [("i1", "i2", 3)]
+    with pytest.raises(ValueError, match="pairs"):
+        co_occurrences(huge, "key", "value", most_pairs=1_000_000)
+
+
 def test_co_occurrences_of_nothing(spark):
     df = spark.createDataFrame([], "key string, value string")
     assert co_occurrences(df, "key", "value").count() == 0
