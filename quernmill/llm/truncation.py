@@ -25,6 +25,7 @@ _SIGNS = ("…", "...", " [...]", "... more")
 _BROKEN = ("&", "&a", "&am", "&quo", "&#3", "<", "<b", "<a hr", "</", "(", "\ufffd")  # mark-up or a character cut in two
 _GRAMS = "gram string, n bigint, n_stop bigint, n_soft bigint"
 _KEYS = ("one", "two", "ahead")
+_NEAR = 16  # lengths so far below a limit are near it: a cut at a word's end stops short
 _ENDINGS = "id string, source string, label int, n_chars bigint, n_bytes bigint, one string, two string, ahead string, own bigint, own_stop bigint, marks array<string>"
 
 
@@ -129,13 +130,25 @@ def _cut_one(text: str, rng: random.Random) -> tuple[str, bool] | None:
     return None
 
 
+def _as_at_limit(text: str, limits: list[dict], rng: random.Random) -> tuple[int, int]:
+    """Code points and bytes of an artificial cut, as though its source's limit had been where it was made.
+
+    Intact texts are shorter than their source's limit, so no cut of one can lie at it; the cut
+    stands for one, the limits by how many texts they cut. Some fall a few signs short, as where a system goes back to a word's end.
+    """
+    chars, size = len(text), len(text.encode("utf-8", "replace"))
+    limit = rng.choices(limits, [x["weight"] for x in limits])[0]
+    length = limit["length"] - (rng.randrange(1, _NEAR + 1) if rng.random() < 0.1 else 0)
+    return (length - size + chars, length) if limit["in_bytes"] else (length, length + size - chars)
+
+
 def _endings(batches: Iterator[pa.RecordBatch], share: float, longest: int) -> Iterator[pa.RecordBatch]:
     """The ending of every text (label null), and for the sampled texts a labelled copy and an artificial cut."""
     names = [f.split()[0] for f in _ENDINGS.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())]
     for batch in batches:
         rows = []
-        for id_, source, text, draw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for id_, source, text, draw, limits in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if not text or not text.strip():
                 continue
             size = len(text), len(text.encode("utf-8", "replace"))
@@ -152,6 +165,7 @@ def _endings(batches: Iterator[pa.RecordBatch], share: float, longest: int) -> I
                             kind = rng.random()
                             shown = head.rstrip() + rng.choice(_SIGNS) if kind < 0.25 else head + rng.choice(_BROKEN) if kind > 0.7 else head
                             one, two, ahead, _, _, marks = _ending(shown)
+                            size = _as_at_limit(shown, limits, rng) if limits and rng.random() < 0.8 else (len(shown), len(shown.encode("utf-8", "replace")))
                             rows.append((id_, source, 1, *size, one, two, ahead, int(between), 0, marks))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(kinds))], names)
 
@@ -164,7 +178,14 @@ def _band(n: int, stop: int) -> str:
     return f"{level} {0 if stop == 0 else 1 if share < 0.02 else 2 if share < 0.1 else 3 if share < 0.3 else 4 if share < 0.6 else 5}"
 
 
-def _features(source, one, two, ahead, own, own_stop, marks, *counts) -> list[int]:
+def _limit_band(gap: int | None, excess: float | None) -> str:
+    """How near a length is to a limit of its source, and how much the limit stands out."""
+    if gap is None:
+        return "far"
+    return f"{0 if gap == 0 else 1 if gap <= 2 else 2 if gap <= 7 else 3} {min(int(excess * 4), 3)}"
+
+
+def _features(source, gap_chars, excess_chars, gap_bytes, excess_bytes, one, two, ahead, own, own_stop, marks, *counts) -> list[int]:
     bands, soft = [], []
     for k in range(3):
         n, stop, phrase = (c or 0 for c in counts[3 * k : 3 * k + 3])
@@ -175,6 +196,8 @@ def _features(source, one, two, ahead, own, own_stop, marks, *counts) -> list[in
     stop = next((m for m in marks if m.startswith("stop ")), "")
     names = [*marks, f"one {a}", f"two {b}", f"both {a} {b}", f"{stop} {signed} one {a}", f"{stop} {signed} two {b}", f"bare {'bare' in marks} {a} {b}"]
     names += [f"{stop} ahead {c}", f"{stop} soft {soft[0]}", f"{stop} soft two {soft[1]}", f"{stop} soft {soft[1]} ahead {soft[2]}", f"{source} {stop}"]
+    chars, size = _limit_band(gap_chars, excess_chars), _limit_band(gap_bytes, excess_bytes)
+    names += [f"limit {chars}", f"limit {chars} {stop} {signed}", f"bytes {size}", f"bytes {size} {stop} {signed}"]
     if one and a[0] in "n0":
         names += [f"new {one[-1:]}", f"new {one[-2:]}", f"new {min(len(one), 12)}", f"new {min(len(one), 12)} {one[-1:]} {c}"]
     elif one and a[0] == "3":
@@ -184,9 +207,9 @@ def _features(source, one, two, ahead, own, own_stop, marks, *counts) -> list[in
 
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in (1, *range(5, batch.num_columns))]
+        columns = [batch.column(k).to_pylist() for k in (1, *range(6, batch.num_columns))]
         hashed = [_features(*row) for row in zip(*columns, strict=True)]
-        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(5)], pa.array(hashed, pa.list_(pa.int32()))], ["id", "source", "label", "n_chars", "n_bytes", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(5), pa.array(hashed, pa.list_(pa.int32()))], ["id", "label", "excess", "features"])
 
 
 def fit_logistic(rows: list[list[int]], labels: np.ndarray, weight: np.ndarray, *, epochs: int = 8, rate: float = 0.3, ridge: float = 1e-4, seed: int = 3) -> np.ndarray:
@@ -231,7 +254,7 @@ def share_of_cut(natural: np.ndarray, counts: np.ndarray, cut_ones: np.ndarray,
 
 
 def plain_posterior(z: np.ndarray, share: float, pure: float, levels: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-    """Probability of having been cut of natural texts with evidence z, away from limits."""
+    """Probability of having been cut of natural texts with evidence z."""
     return np.where(z >= pure, 0.99, np.minimum(share * np.interp(z, levels, ratios), 0.99))
 
 
@@ -253,13 +276,13 @@ def calibrate(natural: np.ndarray, counts: np.ndarray, cut_ones: np.ndarray) ->
     return np.array([(lo + hi) / 2 for _, _, lo, hi in blocks]), np.maximum.accumulate(ratios)
 
 
-def fit_folds(rows: list[list[int]], labels: np.ndarray, folds: np.ndarray, rounds: int = 3) -> list[np.ndarray]:
+def fit_folds(rows: list[list[int]], labels: np.ndarray, folds: np.ndarray, intact: np.ndarray, rounds: int = 3) -> list[np.ndarray]:
     """For each fold (0, 1) the coefficients fitted on the other, so no text is held against itself.
 
-    Rows of label 0 are texts as they came, some of them cut. Each round after the first
-    weighs them by the chance that they are intact, by the last round's model of the other fold.
+    Rows of label 0 are texts as they came, some of them cut. The first round weighs them by
+    the chance `intact` that their length alone gives, each later one by the last round's model of the other fold.
     """
-    weight = np.ones(len(rows))
+    weight = np.where(labels == 1, 1.0, intact)
     models: list[np.ndarray] = []
     for k in range(rounds):
         models = []
@@ -272,7 +295,7 @@ def fit_folds(rows: list[list[int]], labels: np.ndarray, folds: np.ndarray, roun
         natural, cut_ones = z[labels == 0], z[labels == 1]
         if k < rounds - 1 and len(natural) and len(cut_ones):
             ones = np.ones(len(natural))
-            weight[labels == 0] = 1 - plain_posterior(natural, *share_of_cut(natural, ones, cut_ones), *calibrate(natural, ones, cut_ones))
+            weight[labels == 0] = intact[labels == 0] * (1 - plain_posterior(natural, *share_of_cut(natural, ones, cut_ones), *calibrate(natural, ones, cut_ones)))
     return models
 
 
@@ -284,68 +307,80 @@ def _logit(features: list[int], weights: np.ndarray) -> float:
     return float(weights[features].sum() + weights[-1])
 
 
-def _limit_share(endings: DataFrame, length: str) -> DataFrame:
-    """source, length, and the share of its texts of that length that neighbouring lengths don't explain."""
-    counts = endings.groupBy("source", length).agg(F.count("*").alias("k"))
-    near = Window.partitionBy("source").orderBy(length).rangeBetween(-20, 20)
+def _limits(texts: DataFrame, length: str) -> DataFrame:
+    """source ('' for none), length, weight and excess: how many, and which share, of the source's texts of that length neighbouring lengths don't explain."""
+    counts = texts.groupBy("source", F.col(length).alias("length")).agg(F.count("*").alias("k"))
+    near = Window.partitionBy("source").orderBy("length").rangeBetween(-20, 20)
     base = (F.sum("k").over(near) - F.col("k")) / 40.0
     excess = F.col("k") - base - 2 * F.sqrt(base + 1)
-    return counts.withColumn("share", F.when((F.col("k") >= 5) & (excess > 0), excess / F.col("k")).otherwise(0.0)).where(F.col("share") > 0).select("source", length, F.col("share").alias(f"share_{length}"))
+    return counts.withColumns({"weight": excess, "excess": excess / F.col("k")}).where((F.col("k") >= 5) & (F.col("excess") > 0) & (F.col("length") > _NEAR)).select("source", "length", "excess", "weight")
+
+
+def _near(limits: DataFrame, unit: str) -> DataFrame:
+    """source, length, gap, excess for the lengths at most _NEAR below a limit: the nearest limit, whose name ends in the unit."""
+    below = limits.select("source", "excess", "length", F.explode(F.sequence(F.lit(0), F.lit(_NEAR))).alias("gap")).select("source", (F.col("length") - F.col("gap")).alias("length"), "gap", "excess")
+    nearest = below.groupBy("source", "length").agg(F.min_by(F.struct("gap", "excess"), "gap").alias("x"))
+    return nearest.select(F.col("source").alias("__s"), F.col("length").alias("__l"), F.col("x.gap").alias(f"gap_{unit}"), F.col("x.excess").alias(f"excess_{unit}"))
 
 
 def truncated_texts(records: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", sample: int = 8_000, longest: int = 20_000, threshold: float = 0.5) -> DataFrame:
     """key, source, score (probability of having been cut), is_truncated for every record.
 
     Counts over the whole collection tell of each word, each word with the one before it, and
-    of any word after two others, how often a sentence or a phrase stops there. A bounded random `sample` of texts (of at most `longest`
-    code points) trains the classifier: the texts as they are against artificial cuts of those
-    that end in a full stop, some with a cut sign added, each judged without its own share of
-    the counts. Features, hashed: closing signs, open brackets and mark-up, cut signs, and how
-    usual the last word and pair are at a stop. Two fits, each
+    of any word after two others, how often a sentence or a phrase stops there. Limits are lengths (code
+    points or bytes) that a source has more often than the neighbouring lengths explain. A
+    bounded random `sample` of texts (of at most `longest` code points) trains the classifier:
+    the texts as they are against artificial cuts of those that end in a full stop, some with a
+    cut sign added, each judged without its own share of the counts. Features, hashed: closing
+    signs, open brackets and mark-up, cut signs, how usual the last word and pair are at a
+    stop, and how far the length is below the nearest limit of the source and how much that
+    stands out. As an intact text is shorter than its source's limit, four in five cuts
+    of a source with limits count as made at one. Two fits, each
     on half of the sample, score the texts of the other half (`fit_folds`).
 
     Some texts as they came are cut as well; `share_of_cut` finds their share, the prior, and
-    `calibrate` turns evidence against natural texts into a probability. Nearness
-    to a limit enters as the prior, too: at a length (code points or bytes) that a source has
-    more often than its neighbouring lengths explain, it is the excess share.
+    `calibrate` turns evidence against natural texts into a probability.
 
     Every text is read whole; null, empty and blank ones score 0. An empty table gives no
     rows. Rows that repeat a key all get the highest of their scores; those with a null
     key score 0. Other columns are not read.
     """
     base = records.select(F.col(f"`{key}`").alias("__key"), normal_source(f"`{source}`").alias("source"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("__id", F.col("__key").cast("string"))
+    named = F.coalesce("source", F.lit(""))
     total = base.where(F.col("text").isNotNull()).count()
     share = min(1.0, sample / max(total, 1))
     grams = cut(base.select("text").where("text <> ''").mapInArrow(_count_grams, _GRAMS).groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "n_stop", "n_soft")]))
+    sizes = base.where(F.col("text").rlike(r"\S")).select(named.alias("source"), F.length("text").cast("bigint").alias("chars"), F.octet_length("text").cast("bigint").alias("bytes"))
+    limits = {unit: cut(_limits(sizes, unit)) for unit in ("chars", "bytes")}
+    # of each source the lengths that stand out, far fewer than its texts
+    listed = limits["chars"].withColumn("in_bytes", F.lit(False)).unionByName(limits["bytes"].withColumn("in_bytes", F.lit(True)))
+    listed = listed.groupBy(F.col("source").alias("__s")).agg(F.sort_array(F.collect_list(F.struct("in_bytes", "length", "weight"))).alias("limits"))
     draw = F.xxhash64("__id", F.lit(11)).bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
-    endings = cut(base.select("__id", "source", "text", draw.alias("draw")).mapInArrow(lambda b: _endings(b, share, longest), _ENDINGS))
+    told = base.withColumn("draw", draw).join(listed, named == F.col("__s"), "left").select("__id", "source", "text", "draw", F.when(F.col("draw") < share, F.col("limits")).alias("limits"))
+    endings = cut(told.mapInArrow(lambda b: _endings(b, share, longest), _ENDINGS))
     joined = endings
+    for unit in ("chars", "bytes"):
+        joined = joined.join(_near(limits[unit], unit), (named == F.col("__s")) & (F.col(f"n_{unit}") == F.col("__l")), "left").drop("__s", "__l")
     for k in _KEYS:
         joined = joined.join(grams.select(F.col("gram").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "n_stop", "n_soft")]), k, "left")
-    hashed = joined.select("id", "source", "label", "n_chars", "n_bytes", *_KEYS, "own", "own_stop", "marks", *[f"{c}_{k}" for k in _KEYS for c in ("n", "n_stop", "n_soft")])
-    hashed = cut(hashed.mapInArrow(_hash, "id string, source string, label int, n_chars bigint, n_bytes bigint, features array<int>"))
+    at_limit = F.greatest(*[F.when(F.col(f"gap_{u}") == 0, F.col(f"excess_{u}")).otherwise(0.0) for u in ("chars", "bytes")])
+    hashed = joined.select("id", "source", "label", "n_chars", "n_bytes", at_limit.alias("excess"), "gap_chars", "excess_chars", "gap_bytes", "excess_bytes", *_KEYS, "own", "own_stop", "marks", *[f"{c}_{k}" for k in _KEYS for c in ("n", "n_stop", "n_soft")])
+    hashed = cut(hashed.mapInArrow(_hash, "id string, label int, excess double, features array<int>"))
     real = hashed.where(F.col("label").isNull())
-    by_chars, by_bytes = _limit_share(real, "n_chars"), _limit_share(real, "n_bytes")
-
-    def with_limit(df: DataFrame) -> DataFrame:
-        for limits, length in ((by_chars, "n_chars"), (by_bytes, "n_bytes")):
-            own = limits.withColumnRenamed("source", "__s")
-            df = df.join(own, F.col("source").eqNullSafe(F.col("__s")) & (df[length] == own[length]), "left").drop("__s", own[length])
-        return df.withColumn("limit_share", F.greatest(F.coalesce("share_n_chars", F.lit(0.0)), F.coalesce("share_n_bytes", F.lit(0.0)))).drop("share_n_chars", "share_n_bytes")
-
-    labelled = with_limit(hashed.where(F.col("label").isNotNull())).where((F.col("label") == 1) | (F.col("limit_share") < 0.3)).select("id", "label", "features").orderBy("id", "label", "features").collect()
+    labelled = hashed.where(F.col("label").isNotNull()).select("id", "label", "features", "excess").orderBy("id", "label", "features").collect()
     rows, labels = [r[2] for r in labelled], np.array([r[1] for r in labelled], float)
     folds = np.array([_fold(r[0]) for r in labelled])
-    models = fit_folds(rows, labels, folds)
+    excess = np.array([r[3] for r in labelled], float)
+    models = fit_folds(rows, labels, folds, np.where(excess >= 0.3, 0.0, 1 - excess))  # a text at a limit is no example of an intact one
     shipped = records.sparkSession.sparkContext.broadcast(models)  # of a fixed size
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = [_logit(r, shipped.value[_fold(i)]) for i, r in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.float64())], ["id", "limit_share", "evidence"])
+            z = [_logit(r, shipped.value[_fold(i)]) for i, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.float64())], ["id", "evidence"])
 
-    scored = cut(with_limit(real).select("id", "limit_share", "features").mapInArrow(score, "id string, limit_share double, evidence double"))
-    bins = scored.where(F.col("limit_share") == 0).groupBy(F.round(F.greatest(F.least("evidence", F.lit(20.0)), F.lit(-20.0)), 2).alias("z")).count().collect()
+    scored = cut(real.select("id", "features").mapInArrow(score, "id string, evidence double"))
+    bins = scored.groupBy(F.round(F.greatest(F.least("evidence", F.lit(20.0)), F.lit(-20.0)), 2).alias("z")).count().collect()
     natural, counts = np.array([b[0] for b in bins]), np.array([b[1] for b in bins], float)
     cut_ones = np.array([_logit(r, models[f]) for r, y, f in zip(rows, labels, folds, strict=True) if y])
     prior, pure = share_of_cut(natural, counts, cut_ones)
@@ -353,11 +388,8 @@ def truncated_texts(records: DataFrame, *, key: str = "doc_id", text: str = "tex
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plain = plain_posterior(batch.column(2).to_numpy(), prior, pure, levels, ratios)
-            limit = np.maximum(np.minimum(batch.column(1).to_numpy(), 0.98), prior)
-            # the ratio compares cut with natural texts; against intact ones it is what gives `plain` at the prior
-            odds = plain / (1 - plain) * (1 - prior) / prior * limit / (1 - limit)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odds / (1 + odds), pa.float64())], ["id", "score"])
+            chance = plain_posterior(batch.column(1).to_numpy(), prior, pure, levels, ratios)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chance, pa.float64())], ["id", "score"])
 
     posterior = scored.mapInArrow(judge, "id string, score double").groupBy("id").agg(F.max("score").alias("score"))
     return base.select("__key", "__id", "source").join(posterior, F.col("__id") == F.col("id"), "left").select(F.col("__key").alias(key), "source", F.coalesce("score", F.lit(0.0)).alias("score"), (F.coalesce("score", F.lit(0.0)) >= threshold).alias("is_truncated"))
