@@ -14,7 +14,8 @@ def dense_codes(distinct: DataFrame, code: str = "code") -> DataFrame:
     """The rows of `distinct` with a bigint `code` from 0 without gaps.
 
     The rows are written once with their partition and place; only one count per written
-    partition goes to the driver. The order of codes carries no meaning.
+    partition goes to the driver. The codes are in the order of the rows, so they carry a
+    meaning only where `distinct` is sorted.
     """
     placed = cut(distinct.withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", _BITS)

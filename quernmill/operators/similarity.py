@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernmill.functions.hashing import MINHASH_PARAMETERS, MINHASH_PRIME, universal
-from quernmill.operators.codes import ordered_codes
+from quernmill.functions.shared import shared_items
+from quernmill.operators.codes import dense_codes, ordered_codes
 from quernmill.session import cut
 
 
@@ -119,13 +124,18 @@ def lsh_pairs(signatures: DataFrame, key: str, n_hashes: int, rows: int = 1) ->
 def lsh_jaccard(pairs: DataFrame, key: str, item: str, threshold: float, min_common: int = 1, rows: int = 1, hot: int = 50) -> DataFrame:
     """a < b, similarity of the banding candidates whose exact sets have at least `min_common` common items and a Jaccard similarity >= threshold.
 
-    Candidates agree in a band of `rows` hashes; their sets are then compared as in
-    `common_counts`. A bucket of more than `hot` keys is split by the items of their prefixes:
-    a pair that will be confirmed shares one, so no such pair is lost and the others of the
-    bucket don't meet. One row a band, as at a threshold of 0.05, makes nearly all candidates there are;
-    with the threshold t and b bands, 1 - (1 - t ** rows) ** b of the pairs at it are found.
+    Candidates agree in a band of `rows` hashes; their sets are compared as in `common_counts`.
+    One row a band, as at a threshold of 0.05, makes nearly all candidates there are: buckets
+    grow with the keys, as there are no more values than the prime. There the exact pairs come first where they
+    can be counted at the order of the rows or in blocks, and their bands are looked up; the result is the same.
+    Otherwise candidates come from the buckets. A bucket of more than `hot` keys is split by the
+    items of their prefixes: a pair that will be confirmed shares one, so no such pair is lost
+    and the others of the bucket don't meet.
+    With the threshold t and b bands, 1 - (1 - t ** rows) ** b of the pairs at it are found.
     """
     held = _holdings(pairs, key, item)
+    if rows == 1 and (min_common > 2 or _cheap(held)):
+        return _agreeing(held, threshold, min_common)
     sizes, kept, prefix = _prefixes(held, min_common, threshold)
     bands = cut(_bands(minhash_signatures(held, "k", "i"), "k", len(MINHASH_PARAMETERS), rows))
     buckets = bands.groupBy("band", "value").agg(F.count("*").alias("size")).where(F.col("size") > 1)
@@ -135,19 +145,77 @@ def lsh_jaccard(pairs: DataFrame, key: str, item: str, threshold: float, min_com
     return _verified(_sized(met, sizes, threshold), kept, min_common, threshold).select("a", "b", jaccard().alias("similarity"))
 
 
-def co_rated(rated: DataFrame, key: str, by: str, value: str, min_common: int) -> DataFrame:
-    """a < b, by, x, y: the values of both keys for every `by` they share, of all keys that can share min_common; those sharing fewer than min_common are still to be dropped.
+def _agreeing(held: DataFrame, threshold: float, min_common: int) -> DataFrame:
+    """a < b, similarity of the pairs of `lsh_jaccard` at one row a band: those of the exact pairs that have a hash in common."""
+    hashes = F.array(*[F.col(f"h{h}").cast("int") for h in range(1, len(MINHASH_PARAMETERS) + 1)])
+    signatures = cut(minhash_signatures(held, "k", "i").where(F.col("n_items") >= min_common).select("k", hashes.alias("h")))
+    found, names = shared_in_blocks(held, min_common, threshold)
+    near = _named(found, names.join(signatures, "k"))
+    return near.where(F.exists(F.zip_with("h_a", "h_b", lambda x, y: x == y), lambda same: same)).select("a", "b", jaccard().alias("similarity"))
+
+
+_SUMS = ("sx", "sy", "sxy", "sxx", "syy")
+
+
+def _blocks(rows: int, least: int = 500_000, most: int = 3_000_000) -> int:
+    """In how many blocks the keys are put: up to 8 for work in parallel, more only so that a block has at most `most` rows, as each row goes to every pair of its block."""
+    return max(1, min(math.ceil(rows / least), max(8, math.ceil(rows / most))))
 
-    Several values of one (key, by) count as their mean. The values travel with the candidates, so one join serves count and moments.
+
+def shared_in_blocks(held: DataFrame, min_common: int, threshold: float = 0.0, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of distinct rows (k, i): a < b, n_common of the keys with at least `min_common` common items and a Jaccard similarity >= threshold, with a column v also sx, sy, sxy, sxx, syy over them; and k, x, n, as a, b are the codes x.
+
+    The pairs meet and are counted in memory, one group for each two blocks of keys: what
+    is moved is the rows, once for each block, and the pairs found, never the self-join's rows.
+    """
+    values = "v" in held.columns
+    sizes = cut(held.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= min_common))
+    names = cut(ordered_codes(sizes.select("k"), "k", "x").join(sizes, "k"))
+    kept = cut(held.join(names.select("k", "x"), "k").drop("k"))
+    often = kept.groupBy("i").agg(F.count("*").alias("f"))
+    often = often if threshold else often.where(F.col("f") > 1)  # a similarity takes all items of a key
+    items = dense_codes(often.orderBy(F.desc("f")).select("i"), "y")
+    rows = cut(kept.join(items, "i").drop("i"))
+    blocks = blocks or _blocks(rows.count())
+    mine, other = F.pmod("x", F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__o")
+    dealt = rows.select("*", other).select((F.least(mine, "__o") * blocks + F.greatest(mine, "__o")).alias("g"), "x", "y", *["v"] * values)
+    schema = "a bigint, b bigint, n_common bigint" + "".join(f", {c} double" for c in _SUMS if values)
+    arrow = pa.schema([(c, pa.int64()) for c in ("a", "b", "n_common")] + [(c, pa.float64()) for c in _SUMS if values])
+
+    def run(key, table):
+        one, two = divmod(key[0].as_py(), blocks)
+        x, y = (table.column(c).to_numpy() for c in ("x", "y"))
+        v = table.column("v").to_numpy() if values else None
+        side = lambda at: (x[at], y[at], v[at] if values else None)
+        found = list(shared_items(side(x % blocks == one), None if one == two else side(x % blocks == two), min_common, threshold))
+        return pa.table([np.concatenate(c) for c in zip(*found)], schema=arrow) if found else arrow.empty_table()
+
+    # four times the groups, as they come to the tasks by hash
+    return dealt.repartition(2 * blocks * (blocks + 1), "g").groupBy("g").applyInArrow(run, schema), names
+
+
+def _named(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """The pairs of codes a, b by their keys, with n_a, n_b and what else `names` has."""
+    for c in "ab":
+        own = names.select("x", F.col("k").alias(c), *[F.col(m).alias(f"{m}_{c}") for m in names.columns if m not in ("x", "k")])
+        pairs = pairs.withColumnRenamed(c, "x").join(own, "x").drop("x")
+    return pairs
+
+
+def _measured(rated: DataFrame, key: str, by: str, value: str, min_common: int, above: float, name: str, measure: Column) -> DataFrame:
+    """a < b, `name`: the measure of n, mx, my, xy, xx, yy over the `by` that both keys have, > above, where they have at least min_common.
+
+    Several values of one (key, by) count as their mean.
     """
     held = cut(rated.select(F.col(key).alias("k"), F.col(by).alias("i"), F.col(value).alias("v")).where(F.col("k").isNotNull() & F.col("i").isNotNull() & F.col("v").isNotNull()).groupBy("k", "i").agg(F.avg("v").alias("v")))
+    result = F.round(measure, 6).alias(name)
     if _cheap(held):
         a, b = (held.select("i", F.col("k").alias(x), F.col("v").alias(v)) for x, v in (("a", "x"), ("b", "y")))
-        return a.join(b, "i").where(F.col("a") < F.col("b")).select("a", "b", F.col("i").alias("by"), "x", "y")
-    sizes, kept, prefix = _prefixes(held, min_common)
-    both = _shared(_sized(_met(prefix, ["i"]), sizes, 0.0), kept)
-    first = F.col("small") == F.col("a")
-    return both.select("a", "b", F.col("i").alias("by"), F.when(first, F.col("lo_v")).otherwise(F.col("hi_v")).alias("x"), F.when(first, F.col("hi_v")).otherwise(F.col("lo_v")).alias("y"))
+        m = a.join(b, "i").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg(F.col("x") * F.col("y")).alias("xy"), F.avg(F.col("x") * F.col("x")).alias("xx"), F.avg(F.col("y") * F.col("y")).alias("yy"))
+        return m.where(F.col("n") >= min_common).select("a", "b", result).where(F.col(name) > above)
+    found, names = shared_in_blocks(held, min_common)
+    m = found.select("a", "b", *[(F.col(s) / F.col("n_common")).alias(c) for s, c in zip(_SUMS, ("mx", "my", "xy", "xx", "yy"))])
+    return _named(m.select("a", "b", result).where(F.col(name) > above), names).select("a", "b", name)
 
 
 def pearson_pairs(rated: DataFrame, key: str, by: str, value: str, *, min_common: int = 3, above: float = 1e-9) -> DataFrame:
@@ -155,14 +223,12 @@ def pearson_pairs(rated: DataFrame, key: str, by: str, value: str, *, min_common
 
     Raw moments and guards instead of corr(), which fails on zero variance.
     """
-    m = co_rated(rated, key, by, value, min_common).groupBy("a", "b").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg(F.col("x") * F.col("y")).alias("xy"), F.avg(F.col("x") * F.col("x")).alias("xx"), F.avg(F.col("y") * F.col("y")).alias("yy"))
     vx, vy = F.col("xx") - F.col("mx") * F.col("mx"), F.col("yy") - F.col("my") * F.col("my")
     sim = F.when((vx > 1e-9) & (vy > 1e-9), (F.col("xy") - F.col("mx") * F.col("my")) / F.sqrt(vx * vy))
-    return m.where(F.col("n") >= min_common).select("a", "b", F.round(sim, 6).alias("sim")).where(F.col("sim") > above)
+    return _measured(rated, key, by, value, min_common, above, "sim", sim)
 
 
 def slope_pairs(rated: DataFrame, key: str, by: str, value: str, *, min_common: int = 3, above: float = 1e-9) -> DataFrame:
     """a < b, slope of b's values on a's over what both have, > above; no row where a doesn't vary."""
-    m = co_rated(rated, key, by, value, min_common).groupBy("a", "b").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg(F.col("x") * F.col("y")).alias("xy"), F.avg(F.col("x") * F.col("x")).alias("xx"))
     vx = F.col("xx") - F.col("mx") * F.col("mx")
-    return m.where(F.col("n") >= min_common).select("a", "b", F.round(F.when(vx > 1e-9, (F.col("xy") - F.col("mx") * F.col("my")) / vx), 6).alias("slope")).where(F.col("slope") > above)
+    return _measured(rated, key, by, value, min_common, above, "slope", F.when(vx > 1e-9, (F.col("xy") - F.col("mx") * F.col("my")) / vx))
