@@ -42,7 +42,8 @@ def user_predictions(ratings: DataFrame, rated: DataFrame, model: DataFrame, tes
     """
     totals = ratings.groupBy("user_id").agg(F.sum("stars").alias("s"), F.count("*").alias("c"))
     pairs = both_ways(model, sim).withColumnsRenamed({"x": "user_id", "y": "other"})
-    near = _wanted(test).join(rated.select(F.col("user_id").alias("other"), "business_id", F.col("stars").alias("r")), "business_id").join(pairs, ["user_id", "other"])
+    # similar users first: a wanted item that a tenth of all users rated would meet them all
+    near = _wanted(test).join(pairs, "user_id").join(rated.select(F.col("user_id").alias("other"), "business_id", F.col("stars").alias("r")), ["business_id", "other"])
     near = near.join(totals.select(F.col("user_id").alias("other"), "s", "c"), "other")
     rest = F.when(F.col("c") > 1, (F.col("s") - F.col("r")) / F.nullif(F.col("c") - 1, F.lit(0))).otherwise(F.col("s"))
     moved = near.groupBy("user_id", "business_id").agg((F.sum((F.col("r") - rest) * F.col("sim")) / F.sum("sim")).alias("move"))
