@@ -112,3 +112,29 @@ def shared_items(one: tuple, two: tuple | None, least: int, threshold: float = 0
                 turn, (sx, sy, sxy, sxx, syy) = p > q, sums
                 sums = [np.where(turn, sy, sx), np.where(turn, sx, sy), sxy, np.where(turn, syy, sxx), np.where(turn, sxx, syy)]
             yield np.minimum(p, q), np.maximum(p, q), n, *sums
+
+
+def distinct_words(u: np.ndarray, d: np.ndarray, docs: np.ndarray, n_words: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each user of the rows (u, d) and the number of distinct codes in all documents of the user; docs[k] has the next n_words[k] codes."""
+    by_doc, order = np.argsort(docs), np.argsort(u, kind="stable")
+    u, d = u[order], d[order]
+    at = by_doc[np.minimum(np.searchsorted(docs[by_doc], d), len(docs) - 1)]
+    start, n = (np.cumsum(n_words) - n_words)[at], np.where(docs[at] == d, n_words[at], 0)
+    users, rows = np.unique(u, return_index=True)
+    rows, width = np.append(rows, len(u)), int(codes.max(initial=0)) + 1
+    ends, out = np.concatenate([[0], np.cumsum(n)])[rows], np.zeros(len(users), np.int64)
+    k = 0
+    while k < len(users):
+        stop = max(int(np.searchsorted(ends, ends[k] + _MOST, "right")) - 1, k + 1)
+        own = slice(rows[k], rows[stop])
+        if stop == k + 1:
+            held = np.zeros(width, bool)
+            for r in range(rows[k], rows[stop]):
+                held[codes[start[r] : start[r] + n[r]]] = True
+            out[k] = held.sum()
+        else:
+            code = np.repeat(np.repeat(np.arange(stop - k), np.diff(rows[k : stop + 1])), n[own]) * width + codes[_ranges(start[own], n[own])]
+            code.sort()
+            out[k:stop] = np.bincount(code[np.concatenate([[True], code[1:] != code[:-1]])[: len(code)]] // width, minlength=stop - k)
+        k = stop
+    return users, out

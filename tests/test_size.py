@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernmill.operators import recommend, similarity
+from quernmill.operators import profiles, recommend, similarity
 
 
 def moved(spark, run):
@@ -97,3 +97,17 @@ def test_prediction_meets_similar_users_only(spark):
     # a neighbour's only rating is compared with itself: no move
     assert sorted(map(tuple, out)) == [(f"u{2 * k:04d}", "hub", 1.0 + 2 * k % 4) for k in range(100)]
     assert n < 20000
+
+
+def test_profile_sizes_move_no_profiles(spark):
+    """200 users of 30 documents each of 50 words: 300,000 (user, word) rows before they are made distinct."""
+    rng = np.random.default_rng(3)
+    words = {f"d{k}": {f"w{j}" for j in rng.choice(2000, 50, replace=False)} for k in range(60)}
+    has = {f"u{k}": {f"d{j}" for j in rng.choice(62, 30, replace=False)} for k in range(200)}
+    profile = spark.createDataFrame([(d, w) for d, held in words.items() for w in held], "doc string, word string")
+    seen = spark.createDataFrame([(u, d) for u, held in has.items() for d in held], "user string, doc string")
+    out = []
+    n = moved(spark, lambda: out.extend(map(tuple, profiles.profile_sizes(profile, seen, "user", "doc", most_rows=4000).collect())))
+    own = {u: set().union(*(words.get(d, ()) for d in held)) for u, held in has.items()}
+    assert sorted(out) == sorted((u, len(w), min(w), max(w)) for u, w in own.items())
+    assert n < 100_000
