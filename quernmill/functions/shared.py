@@ -114,6 +114,26 @@ def shared_items(one: tuple, two: tuple | None, least: int, threshold: float = 0
             yield np.minimum(p, q), np.maximum(p, q), n, *sums
 
 
+class LeastHashes:
+    """The min-hash signatures of the keys of rows (key, rank of the item): the least (a * r + b) % prime of each key."""
+
+    def __init__(self, x: np.ndarray, r: np.ndarray, parameters: list[tuple[int, int]], prime: int):
+        order = np.argsort(x, kind="stable")
+        self.keys, first = np.unique(x[order], return_index=True)
+        r = r[order]
+        self.h = [np.minimum.reduceat((a * r + b) % prime, first).astype(np.int32) for a, b in parameters] if len(r) else []
+
+    def agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each pair of keys, whether they have a hash in common."""
+        a, b = np.searchsorted(self.keys, a), np.searchsorted(self.keys, b)
+        rest = np.arange(len(a))
+        for h in self.h:
+            rest = rest[h[a[rest]] != h[b[rest]]]
+        out = np.ones(len(a), bool)
+        out[rest] = False
+        return out
+
+
 def distinct_words(u: np.ndarray, d: np.ndarray, docs: np.ndarray, n_words: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each user of the rows (u, d) and the number of distinct codes in all documents of the user; docs[k] has the next n_words[k] codes."""
     by_doc, order = np.argsort(docs), np.argsort(u, kind="stable")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernmill.functions.hashing import MINHASH_PARAMETERS, MINHASH_PRIME, universal
-from quernmill.functions.shared import shared_items
+from quernmill.functions.shared import LeastHashes, shared_items
 from quernmill.operators.codes import dense_codes, ordered_codes
 from quernmill.session import cut
 
@@ -147,14 +149,12 @@ def lsh_jaccard(pairs: DataFrame, key: str, item: str, threshold: float, min_com
 
 def _agreeing(held: DataFrame, threshold: float, min_common: int) -> DataFrame:
     """a < b, similarity of the pairs of `lsh_jaccard` at one row a band: those of the exact pairs that have a hash in common."""
-    hashes = F.array(*[F.col(f"h{h}").cast("int") for h in range(1, len(MINHASH_PARAMETERS) + 1)])
-    signatures = cut(minhash_signatures(held, "k", "i").where(F.col("n_items") >= min_common).select("k", hashes.alias("h")))
-    found, names = shared_in_blocks(held, min_common, threshold)
-    near = _named(found, names.join(signatures, "k"))
-    return near.where(F.exists(F.zip_with("h_a", "h_b", lambda x, y: x == y), lambda same: same)).select("a", "b", jaccard().alias("similarity"))
+    found, _ = shared_in_blocks(held, min_common, threshold, keyed=True, hashed=True)
+    return found.select("a", "b", jaccard().alias("similarity"))
 
 
 _SUMS = ("sx", "sy", "sxy", "sxx", "syy")
+_BATCH = 65_536  # rows that go back to the JVM at a time
 
 
 def _blocks(rows: int, least: int = 500_000, most: int = 3_000_000) -> int:
@@ -162,33 +162,59 @@ def _blocks(rows: int, least: int = 500_000, most: int = 3_000_000) -> int:
     return max(1, min(math.ceil(rows / least), max(8, math.ceil(rows / most))))
 
 
-def shared_in_blocks(held: DataFrame, min_common: int, threshold: float = 0.0, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
+def shared_in_blocks(held: DataFrame, min_common: int, threshold: float = 0.0, blocks: int | None = None, *, keyed: bool = False, hashed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Of distinct rows (k, i): a < b, n_common of the keys with at least `min_common` common items and a Jaccard similarity >= threshold, with a column v also sx, sy, sxy, sxx, syy over them; and k, x, n, as a, b are the codes x.
 
     The pairs meet and are counted in memory, one group for each two blocks of keys: what
     is moved is the rows, once for each block, and the pairs found, never the self-join's rows.
+    `keyed`: a, b are the keys themselves, with n_a, n_b. The keys go to the groups once for each
+    block, so that no pair is joined or moved after it is found, however many there are.
+    `hashed`: only pairs whose `minhash_signatures` agree in some hash, which the groups make from the items' ranks.
     """
     values = "v" in held.columns
     sizes = cut(held.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= min_common))
     names = cut(ordered_codes(sizes.select("k"), "k", "x").join(sizes, "k"))
     kept = cut(held.join(names.select("k", "x"), "k").drop("k"))
     often = kept.groupBy("i").agg(F.count("*").alias("f"))
-    often = often if threshold else often.where(F.col("f") > 1)  # a similarity takes all items of a key
+    often = often if threshold or hashed else often.where(F.col("f") > 1)  # a similarity and a hash take all items of a key
     items = dense_codes(often.orderBy(F.desc("f")).select("i"), "y")
+    if hashed:
+        items = items.join(ordered_codes(held.select("i").distinct(), "i", "r"), "i")
     rows = cut(kept.join(items, "i").drop("i"))
     blocks = blocks or _blocks(rows.count())
+    sent = rows
+    if keyed:  # a row for each key, with its size below 0 in place of an item
+        own = names.select("x", (-F.col("n")).alias("y"), "k", *[F.lit(0).cast("bigint").alias("r")] * hashed, *[F.lit(0.0).alias("v")] * values)
+        sent = rows.withColumn("k", F.lit(None).cast(names.schema["k"].dataType)).unionByName(own)
     mine, other = F.pmod("x", F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__o")
-    dealt = rows.select("*", other).select((F.least(mine, "__o") * blocks + F.greatest(mine, "__o")).alias("g"), "x", "y", *["v"] * values)
-    schema = "a bigint, b bigint, n_common bigint" + "".join(f", {c} double" for c in _SUMS if values)
-    arrow = pa.schema([(c, pa.int64()) for c in ("a", "b", "n_common")] + [(c, pa.float64()) for c in _SUMS if values])
+    dealt = sent.select("*", other).select((F.least(mine, "__o") * blocks + F.greatest(mine, "__o")).alias("g"), *sent.columns)
+    key_type = names.schema["k"].dataType.simpleString() if keyed else "bigint"
+    counts = ("n_common", "n_a", "n_b") if keyed else ("n_common",)
+    schema = f"a {key_type}, b {key_type}" + "".join(f", {c} bigint" for c in counts) + "".join(f", {c} double" for c in _SUMS if values)
 
-    def run(key, table):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = divmod(key[0].as_py(), blocks)
+        table = pa.Table.from_batches(list(batches))
+        if keyed:
+            is_key = pa.array(table.column("y").to_numpy() < 0)
+            own, table = table.select(["x", "y", "k"]).filter(is_key).sort_by("x"), table.drop_columns("k").filter(pc.invert(is_key))
+            codes, n, keys = own.column("x").to_numpy(), -own.column("y").to_numpy(), own.column("k").combine_chunks()
         x, y = (table.column(c).to_numpy() for c in ("x", "y"))
         v = table.column("v").to_numpy() if values else None
+        hashes = LeastHashes(x, table.column("r").to_numpy(), MINHASH_PARAMETERS, MINHASH_PRIME) if hashed else None
+        del table
         side = lambda at: (x[at], y[at], v[at] if values else None)
-        found = list(shared_items(side(x % blocks == one), None if one == two else side(x % blocks == two), min_common, threshold))
-        return pa.table([np.concatenate(c) for c in zip(*found)], schema=arrow) if found else arrow.empty_table()
+        for found in shared_items(side(x % blocks == one), None if one == two else side(x % blocks == two), min_common, threshold):
+            if hashed:
+                agree = hashes.agree(*found[:2])
+                found = [c[agree] for c in found]
+            for k in range(0, len(found[0]), _BATCH):
+                a, b, n_common, *sums = (c[k : k + _BATCH] for c in found)
+                columns = [a, b, n_common, *sums]
+                if keyed:
+                    a, b = (np.searchsorted(codes, c) for c in (a, b))
+                    columns = [keys.take(pa.array(a)), keys.take(pa.array(b)), n_common, n[a], n[b], *sums]
+                yield pa.record_batch([pa.array(c) for c in columns], ["a", "b", *counts, *_SUMS[: len(sums)]])
 
     # four times the groups, as they come to the tasks by hash
     return dealt.repartition(2 * blocks * (blocks + 1), "g").groupBy("g").applyInArrow(run, schema), names

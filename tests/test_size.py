@@ -83,6 +83,28 @@ def test_blocks_brute_force(spark, rated, threshold):
         assert got == {(a, b, n, 9, 9) for a, b, n in pairs if n >= least and n / (18 - n) >= threshold}
 
 
+@pytest.mark.parametrize("what", ["lsh"])
+def test_found_pairs_are_not_moved(spark, what):
+    """300 users of 9 out of 14 items: all 44,850 pairs have 4 or more in common, 17 times the rows."""
+    rng = np.random.default_rng(7)
+    rows = [(f"u{u:03d}", f"i{k}", float(s)) for u in range(300) for k, s in zip(rng.choice(14, 9, replace=False), rng.integers(1, 6, 9))]
+    df = spark.createDataFrame(rows, "k string, v string, s double")
+    f = {"lsh": lambda: similarity.lsh_jaccard(df, "k", "v", 0.01, 3), "slope": lambda: similarity.slope_pairs(df, "k", "v", "s")}[what]
+    out = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = moved(spark, lambda: out.extend(map(tuple, f().collect())))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    if what == "lsh":
+        exact = similarity.common_counts(df, "k", "v", 3, 0.01).select("a", "b", similarity.jaccard().alias("similarity"))
+        bands = similarity.lsh_pairs(similarity.minhash_signatures(df, "k", "v"), "k", 35)
+        assert sorted(out) == sorted(map(tuple, exact.join(bands, ["a", "b"], "left_semi").collect()))
+    else:
+        assert {(a, b): m for a, b, m in out} == pytest.approx({(a, b): m for a, b, m in measured(rows, 3, True)}, abs=1e-6)
+    assert len(out) > 15_000 and n < 15 * len(rows)
+
+
 def test_prediction_meets_similar_users_only(spark):
     """An item that all of 2,000 users rated, wanted by 100, with one similar user each."""
     rated = spark.range(2000).select(F.format_string("u%04d", "id").alias("user_id"), F.lit("hub").alias("business_id"), (1.0 + F.col("id") % 4).alias("stars"))
