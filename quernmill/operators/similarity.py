@@ -239,9 +239,9 @@ def _measured(rated: DataFrame, key: str, by: str, value: str, min_common: int,
         a, b = (held.select("i", F.col("k").alias(x), F.col("v").alias(v)) for x, v in (("a", "x"), ("b", "y")))
         m = a.join(b, "i").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg(F.col("x") * F.col("y")).alias("xy"), F.avg(F.col("x") * F.col("x")).alias("xx"), F.avg(F.col("y") * F.col("y")).alias("yy"))
         return m.where(F.col("n") >= min_common).select("a", "b", result).where(F.col(name) > above)
-    found, names = shared_in_blocks(held, min_common)
+    found, _ = shared_in_blocks(held, min_common, keyed=True)
     m = found.select("a", "b", *[(F.col(s) / F.col("n_common")).alias(c) for s, c in zip(_SUMS, ("mx", "my", "xy", "xx", "yy"))])
-    return _named(m.select("a", "b", result).where(F.col(name) > above), names).select("a", "b", name)
+    return m.select("a", "b", result).where(F.col(name) > above)
 
 
 def pearson_pairs(rated: DataFrame, key: str, by: str, value: str, *, min_common: int = 3, above: float = 1e-9) -> DataFrame:

@@ -83,7 +83,7 @@ def test_blocks_brute_force(spark, rated, threshold):
         assert got == {(a, b, n, 9, 9) for a, b, n in pairs if n >= least and n / (18 - n) >= threshold}
 
 
-@pytest.mark.parametrize("what", ["lsh"])
+@pytest.mark.parametrize("what", ["lsh", "slope"])
 def test_found_pairs_are_not_moved(spark, what):
     """300 users of 9 out of 14 items: all 44,850 pairs have 4 or more in common, 17 times the rows."""
     rng = np.random.default_rng(7)
